@@ -57,13 +57,19 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_sample(rows: DataFrame, classes: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """At most per_class rows of each class, those with the least hash of the key: the same rows on every run and partitioning.
+def bounded_sample(rows: DataFrame, classes: str, per_class: int, key: str = "doc_id", most_classes: int = 1024) -> DataFrame:
+    """About the per_class rows of each class with the least hash of their key: the same rows on every run and partitioning.
 
-    The hash has the class as seed column too, so ids of different classes are drawn independently. Spark prunes the
-    window to per_class rows in each task before its shuffle.
+    The classes are counted first, so every task keeps only rows whose hash lies below the share that is wanted (and five standard
+    deviations more); the rows that meet in one task for a class are bounded by per_class, not by the table.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(classes).orderBy(F.xxhash64(F.col(key).cast("string"), F.col(classes).cast("string")), F.col(key))
-    return rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class).drop("_nth")
+    counts = rows.groupBy(classes).agg(F.count("*").alias("_n"))
+    if len(counts.limit(most_classes + 1).collect()) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    wanted = per_class + 5 * per_class**0.5 + 10
+    share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = rows.withColumn("_share", share).join(F.broadcast(counts), classes).where(F.col("_share") * F.col("_n") <= wanted)  # at most most_classes rows
+    order = Window.partitionBy(classes).orderBy("_share", F.col(key))
+    return near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class).drop("_nth", "_n", "_share")

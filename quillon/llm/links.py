@@ -1,10 +1,11 @@
 """From buckets of candidates to classes: every link between different items is found, without pairing whole buckets.
 
-1. Each bucket has a leader, its least id. All members are compared with the leader only: as many comparisons as members.
+0. What only one item has bounds its similarity to all others; items that can't reach the threshold with any other are set aside.
+1. Each bucket has a leader, the item with the least of its own. All members are compared with the leader only: as many comparisons as members.
 2. Verified links are joined to components by alternating large-star and small-star steps on edge tables.
 3. A member that isn't linked to its leader may still be linked to others of its bucket. It is compared with those that are in
-   another component and that the leader's distance doesn't rule out: Jaccard distances obey the triangle inequality, so of two items
-   within distance t the distances to the leader differ by t at most.
+   another component and that neither the bound nor the leader's distance rules out: Jaccard distances obey the triangle inequality, so
+   of two items within distance t the distances to the leader differ by t at most.
 
 So a bucket of n copies costs n comparisons, and two items of a bucket that are linked always end in one component. All steps are
 joins and aggregates over tables; nothing is collected.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
@@ -43,35 +44,47 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: float, alike: Callable | None = None) -> DataFrame:
+def _may(own: str, other: str, reach: float) -> Column:
+    """Whether two items can be linked at all: what only one of them has is missing from their overlap and is part of their union."""
+    w1, x1, w2, x2 = (F.col(f"{side}.{c}") for side in (own, other) for c in ("total", "alone"))
+    return (w1 - x1 >= (reach - 1e-9) * (w1 + x2)) & (w2 - x2 >= (reach - 1e-9) * (w2 + x1))
+
+
+def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: float, bounds: DataFrame, alike: Callable | None = None) -> DataFrame:
     """(id, root) of all items that are linked to another one.
 
     members: bucket, id and, where alike is given, sketch; only buckets of two or more ids. compare: takes pairs (a, b) and gives a, b, similarity.
-    reach: the least similarity of a link. alike: a condition on two sketches that linked items hardly ever miss.
+    reach: the least similarity of a link. bounds: id, total (the weight of the item's features) and alone (of those that no other member has).
+    alike: a condition on two sketches that linked items hardly ever miss.
     """
-    spark = members.sparkSession
+    ids = ["id", "total", "alone"] + (["sketch"] if alike is not None else [])
+    # an item with too much of its own is linked to none
+    rows = members.join(bounds.where((F.col("total") - F.col("alone")) >= (reach - 1e-9) * F.col("total")), "id").select("bucket", *ids)
+    crowded = rows.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("total")).alias("share"), "id", "total", "alone")).alias("l"), F.count("*").alias("n")).where("n > 1")
+    leaders = stored(crowded.select("bucket", F.col("l.id").alias("leader"), F.col("l.total").alias("leader_total"), F.col("l.alone").alias("leader_alone")))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"))
     spread = leaders.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    star = members.select("bucket", "id", salt.alias("salt")).join(spread, ["bucket", "salt"]).where("id <> leader").select("bucket", "id", "leader")
-    star = stored(star)
-    pairs = star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    star = stored(rows.withColumn("salt", salt).join(spread, ["bucket", "salt"]).drop("salt"))
+    pairs = star.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     checked = stored(compare(pairs))
     roots = stored(components(checked.where(F.col("similarity") >= reach).select("a", "b")))
 
     far = checked.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("distance"))
-    placed = star.join(far, ["leader", "id"]).join(roots, "id", "left").select("bucket", "id", "distance", F.coalesce("root", "id").alias("root"))
-    if alike is not None:
-        placed = placed.join(members.select("bucket", "id", "sketch"), ["bucket", "id"])
-    placed = stored(placed)
+    placed = stored(star.join(far, ["leader", "id"]).join(roots, "id", "left").select("bucket", *ids, "distance", F.coalesce("root", "id").alias("root")))
     rest = placed.where(F.col("distance") > 1 - reach)
     if rest.isEmpty():
         return roots
     left, right = rest.alias("l"), placed.alias("r")
     near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root")) & (F.abs(F.col("l.distance") - F.col("r.distance")) <= 1 - reach + 1e-9)
-    near = near & ((F.col("r.distance") <= 1 - reach) | (F.col("l.id") < F.col("r.id")))
+    near = near & ((F.col("r.distance") <= 1 - reach) | (F.col("l.id") < F.col("r.id"))) & _may("l", "r", reach)
     if alike is not None:
         near = near & alike(F.col("l.sketch"), F.col("r.sketch"))
     more = left.join(right, near).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     found = compare(more).where(F.col("similarity") >= reach).select("a", "b")
     return components(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(found))
+
+
+def alone(features: DataFrame) -> DataFrame:
+    """(id, alone) of rows (id, feature, weight): the weight of an item's features that no other item has."""
+    once = features.groupBy("feature").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum("weight").alias("weight")).where("n = 1")
+    return once.groupBy("id").agg(F.sum("weight").alias("alone"))

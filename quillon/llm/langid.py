@@ -225,7 +225,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
             texts = b.column(len(keep))
             for at in range(0, max(1, len(texts)), 512):
                 part = texts.slice(at, 512).to_pylist()
-                new = sorted({w for t in part for w in letters(t)} - scorer.rows.keys())
+                new = sorted({w for t in part for w in letters(t) if w not in scorer.rows})
                 scorer._learn(new)
                 got = [scorer.predict(t) for t in part]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, 512) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])

@@ -150,8 +150,8 @@ class Encoder:
         """Have the ids of these words at hand. Words not met for CACHE new ones are forgotten."""
         if len(self.words) > CACHE:
             self.older, self.words = self.words, {}
-        missing = words - self.words.keys()
-        again = missing & self.older.keys()
+        missing = {w for w in words if w not in self.words}
+        again = {w for w in missing if w in self.older}
         self.words.update((w, self.older[w]) for w in again)
         self.learn(missing - again)
 

@@ -133,7 +133,8 @@ class Model:
         if None in got:
             if len(self.seen) > CACHE:
                 self.seen.clear()
-            for w in set(found) - self.seen.keys():
+                got = [None] * len(found)
+            for w in {w for w, x in zip(found, got, strict=True) if x is None}:
                 self.seen[w] = self.word(w)
             got = list(map(self.seen.get, found))
         return np.array(got, float)

@@ -19,8 +19,7 @@ _MOST = 20_000
 
 def _each(f: Callable[[float], float]) -> Callable[[np.ndarray], np.ndarray]:
     """A function of the C library over an array."""
-    one = np.frompyfunc(f, 1, 1)
-    return lambda x: np.asarray(one(np.asarray(x, float)), float)
+    return lambda x: np.asarray(np.frompyfunc(f, 1, 1)(np.asarray(x, float)), float)
 
 
 def _safe_gamma(x: float) -> float:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a QUERIES dict (name -> callable) and an ORACLES dict (name -> SQL).
-MODULES: tuple[str, ...] = ("descriptive",)
+MODULES: tuple[str, ...] = ("descriptive", "tests", "transforms", "distributions", "spatial", "streams")
 
 
 def _modules():

@@ -20,14 +20,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Stands for a literal mark among the words of a text; no word is written so.
+LITERAL = "\0" + MARK
 #: Words that a worker keeps with their ids.
-CACHE = 150_000
+CACHE = 300_000
 #: Longest run of characters that is kept in the cache.
 KEPT = 48
 
@@ -94,7 +97,7 @@ class Encoder:
         if model.kind == "bpe":
             self.whole = {p: len(p) == 1 or merged(p, model) == [p] for p in model.ids}
         known = "".join(re.escape(c) for c in sorted(self.alphabet - {MARK}))
-        self._cut = re.compile(f"{MARK}*[{known}]+|{MARK}+" if known else f"{MARK}+")
+        self._words = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]+" if known else f"{MARK}+|[^{MARK}]+")
 
     def _stays(self, a: str, b: str) -> bool:
         """Whether two pieces stay as they are when encoded together."""
@@ -126,10 +129,16 @@ class Encoder:
         return best
 
     def learn(self, words: set[str]) -> None:
-        """Encode distinct marked words in sorted order; each shares the states of the prefix it has in common with the one before."""
-        extend, bpe, ids, keep = self._extend, self.model.kind == "bpe", self.model.ids, self.words
+        """Encode distinct marked words in sorted order; each shares the states of the prefix it has in common with the one before.
+
+        Runs of characters outside the vocabulary stand among them and get the ids of their bytes.
+        """
+        extend, bpe, ids, keep, alphabet = self._extend, self.model.kind == "bpe", self.model.ids, self.words, self.alphabet
         before, states = "", [None]
         for word in sorted(words):
+            if word[-1] not in alphabet or word == LITERAL:
+                keep[word] = np.array(self._bytes(MARK if word == LITERAL else word), np.int32).tobytes()
+                continue
             same = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
@@ -143,39 +152,26 @@ class Encoder:
                 piece = states[end] if bpe else states[end][1]
                 out.append(ids[piece])
                 end -= len(piece)
-            keep[word] = tuple(reversed(out))
+            keep[word] = np.array(out[::-1], np.int32).tobytes()
             before = word
 
     def _ready(self, words: set[str]) -> None:
         """Have the ids of these words at hand. Words not met for CACHE new ones are forgotten."""
-        if len(self.words) > CACHE:
-            self.older, self.words = self.words, {}
-        missing = {w for w in words if w not in self.words}
-        again = {w for w in missing if w in self.older}
+        again = {w for w in words if w in self.older}
         self.words.update((w, self.older[w]) for w in again)
-        self.learn(missing - again)
+        self.learn(words - again)
 
     def split(self, text: str) -> list[str]:
-        """Marked words and, between them, runs of characters outside the vocabulary (each starts with a NUL)."""
+        """Marked words and, between them, runs of characters outside the vocabulary. A literal mark in the text becomes LITERAL."""
         if not text:
             return []
-        # a literal mark isn't a space: it is kept apart as an unknown character
-        parts = text.split(MARK)
+        if MARK not in text:
+            return self._words.findall((MARK if self.model.prefix else "") + text.replace(" ", MARK))
         out: list[str] = []
-        for i, part in enumerate(parts):
+        for i, part in enumerate(text.split(MARK)):
             if i:
-                out.append("\0" + MARK)
-            marked = part.replace(" ", MARK)
-            if i == 0 and self.model.prefix:
-                marked = MARK + marked
-            at = 0
-            for m in self._cut.finditer(marked):
-                if m.start() > at:
-                    out.append("\0" + marked[at : m.start()])
-                out.append(m.group())
-                at = m.end()
-            if at < len(marked):
-                out.append("\0" + marked[at:])
+                out.append(LITERAL)
+            out += self._words.findall((MARK if i == 0 and self.model.prefix else "") + part.replace(" ", MARK))
         return out
 
     def _bytes(self, text: str) -> list[int]:
@@ -183,23 +179,24 @@ class Encoder:
             return [self.model.unknown] * len(text)
         return [self.model.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")]
 
+    def packed_batch(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of some texts, each as packed 32-bit numbers."""
+        if len(self.words) > CACHE:
+            self.older, self.words = self.words, {}
+        cut = [None if t is None else self.split(t) for t in texts]
+        found = [None if ws is None else list(map(self.words.get, ws)) for ws in cut]
+        lacking = [i for i, f in enumerate(found) if f is not None and None in f]
+        if lacking:
+            self._ready({w for i in lacking for w, f in zip(cut[i], found[i], strict=True) if f is None})
+            for i in lacking:
+                found[i] = list(map(self.words.get, cut[i]))
+            for w in [w for i in lacking for w in cut[i] if len(w) > KEPT]:
+                self.words.pop(w, None)
+        return [None if f is None else b"".join(f) for f in found]
+
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         """The ids of some texts."""
-        cut = [None if t is None else self.split(t) for t in texts]
-        needed = {w for ws in cut if ws for w in ws if w[0] != "\0"}
-        self._ready(needed)
-        out: list[list[int] | None] = []
-        for ws in cut:
-            if ws is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in ws:
-                ids.extend(self._bytes(w[1:]) if w[0] == "\0" else self.words[w])
-            out.append(ids)
-        for w in [w for w in needed if len(w) > KEPT]:
-            self.words.pop(w, None)
-        return out
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.packed_batch(texts)]
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of some ids."""
@@ -221,6 +218,15 @@ class Encoder:
         return text[1:] if m.prefix and ids else text
 
 
+def _lists(packed: list[bytes | None]) -> pa.Array:
+    """Packed ids as an Arrow column of lists."""
+    size = np.array([0 if x is None else len(x) // 4 for x in packed], np.int64)
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    null = np.array([x is None for x in packed] + [False])
+    flat = pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=null) if null.any() else pa.array(offsets), flat)
+
+
 def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", check: bool = False) -> DataFrame:
     """The columns to keep and ids of every text; with check, also decoded: what the ids decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -233,11 +239,11 @@ def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
         for b in batches:
             for at in range(0, max(1, b.num_rows), 256):
                 part = b.slice(at, 256)
-                ids = encoder.encode_batch(part.column(len(keep)).to_pylist())
-                columns = [*(part.column(i) for i in range(len(keep))), pa.array(ids, pa.list_(pa.int32()))]
+                ids = encoder.packed_batch(part.column(len(keep)).to_pylist())
+                columns = [*(part.column(i) for i in range(len(keep))), _lists(ids)]
                 names = [*(f"_k{i}" for i in range(len(keep))), "ids"]
                 if decoder:
-                    columns.append(pa.array([decoder(x) for x in ids], pa.string()))
+                    columns.append(pa.array([None if x is None else decoder(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -40,7 +40,7 @@ def kernel_value(kernel: Kernel, u: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kde:
-    """A fitted estimate: the data as a DataFrame (x), the width and the number of values."""
+    """A fitted estimate: the data as a DataFrame (_data), the width and the number of values."""
 
     data: DataFrame
     bandwidth: float
@@ -54,12 +54,12 @@ class Kde:
         finite = points.where(present(at) & (F.abs(F.col(at)) < math.inf))
         if points.count() > LARGEST_GRID:
             raise DomainError(f"a grid of more than {LARGEST_GRID} points; evaluate it in parts")
-        u = (F.col(at) - F.col("x")) / self.bandwidth
+        u = (F.col(at) - F.col("_data")) / self.bandwidth
         k = kernel_value(self.kernel, u)
         if self.kernel is Kernel.EPANECHNIKOV:
             cell = lambda c: F.floor(F.col(c) / self.bandwidth)
             near = finite.withColumn("_cell", F.explode(F.array(cell(at) - 1, cell(at), cell(at) + 1)))
-            pairs = self.data.withColumn("_cell", cell("x")).join(F.broadcast(near), "_cell")
+            pairs = self.data.withColumn("_cell", cell("_data")).join(F.broadcast(near), "_cell")
         else:
             pairs = self.data.crossJoin(F.broadcast(finite))  # a checked grid against all rows
         sums = pairs.groupBy(at).agg(F.sum(k).alias("_s"))
@@ -80,7 +80,7 @@ def kde(df: DataFrame, value: str, kernel: Kernel, bandwidth: Bandwidth) -> Kde:
         h = sd * (3 * n / 4) ** -0.2 if bandwidth.rule == "silverman" else sd * n**-0.2
     if not (h and math.isfinite(h) and h > 0):
         raise DomainError("the width must be positive and finite")
-    return Kde(df.where(present(value)).select(x.alias("x")), h, n, kernel)
+    return Kde(df.where(present(value)).select(x.alias("_data")), h, n, kernel)
 
 
 class Rule(Enum):

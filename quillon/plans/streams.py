@@ -32,11 +32,11 @@ def _drained(spark, frame, mode: str = "complete"):
     SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 5) AS var, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL""")
 def stream_windowed_moments(spark, sf_dir):
     out = _drained(spark, windows.windowed_moments(_stream(spark, sf_dir), "ts", "value", "1 day", "2 days", "event_type"))
-    return out.select("event_type", F.col("window.start").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"), "lo", "hi")
+    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"), "lo", "hi")
 
 
 @query("stream_windowed_histogram", """
     SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, CASE WHEN value < 0 THEN -1 WHEN value > 200 THEN 10 ELSE least(floor(value / 20.0), 9) END::INT AS bin, count(*) AS n FROM events GROUP BY ALL""")
 def stream_windowed_histogram(spark, sf_dir):
     out = _drained(spark, windows.windowed_histogram(_stream(spark, sf_dir), "ts", "value", "7 days", "14 days", 0.0, 200.0, 10))
-    return rounded(out.select(F.col("window.start").alias("start"), "bin", "n"))
+    return rounded(out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "bin", "n"))

@@ -24,10 +24,6 @@ def _customers(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
 
 
-def _table(name):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query("rank_all_ties", """
     SELECT p_partkey, rank() OVER w + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS average, (rank() OVER w)::DOUBLE AS lowest, (count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE UNBOUNDED PRECEDING))::DOUBLE AS highest,
       (dense_rank() OVER w)::DOUBLE AS dense, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey))::DOUBLE AS ordinal
@@ -55,11 +51,11 @@ def box_cox(spark, sf_dir):
 
 @query("yeo_johnson", """
     SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 6) AS half,
-      round(CASE WHEN c_acctbal >= 0 THEN ln(c_acctbal + 1) ELSE -(pow(1 - c_acctbal, 2) - 1) / 2 END, 4) AS zero, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 2) - 1) / 2 ELSE -ln(1 - c_acctbal) END, 4) AS two
+      round(CASE WHEN c_acctbal >= 0 THEN ln(c_acctbal + 1) ELSE -(pow(1 - c_acctbal, 2) - 1) / 2 END, 2) AS zero, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 2) - 1) / 2000 ELSE -ln(1 - c_acctbal) / 1000 END, 2) AS two
     FROM customer""")
 def yeo_johnson(spark, sf_dir):
     x = "c_acctbal"
-    return _customers(spark, sf_dir).select("c_custkey", F.round(T.yeo_johnson(x, 0.5), 6).alias("half"), F.round(T.yeo_johnson(x, 0.0), 4).alias("zero"), F.round(T.yeo_johnson(x, 2.0), 4).alias("two"))
+    return _customers(spark, sf_dir).select("c_custkey", F.round(T.yeo_johnson(x, 0.5), 6).alias("half"), F.round(T.yeo_johnson(x, 0.0), 2).alias("zero"), F.round(T.yeo_johnson(x, 2.0) / 1000, 2).alias("two"))
 
 
 @query("pit_and_map", f"SELECT event_id, round({phi('((value - 50) / 30)')}, 8) AS u, round(-ln(1 - {phi('((value - 50) / 30)')}), 5) AS mapped FROM events WHERE abs(value - 50) < 120")
@@ -70,20 +66,17 @@ def pit_and_map(spark, sf_dir):
 
 
 @query("quantile_normalize", """
-    WITH m AS (SELECT l_linenumber AS c, l_orderkey AS r, l_extendedprice AS v FROM lineitem WHERE l_linenumber <= 3),
+    WITH m AS (SELECT l_linenumber AS c, l_suppkey AS r, max(l_extendedprice) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
     full_rows AS (SELECT r FROM m GROUP BY r HAVING count(*) = 3), f AS (SELECT * FROM m WHERE r IN (SELECT r FROM full_rows)),
     i AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY v, r) - 1 AS i, rank() OVER (PARTITION BY c ORDER BY v) - 1 + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0 AS k FROM f),
     t AS (SELECT i, avg(v) AS t FROM i GROUP BY i)
     SELECT c::INT AS c, r, round((lo.t + hi.t) / 2, 3) AS v FROM i JOIN t lo ON lo.i = floor(k) JOIN t hi ON hi.i = ceil(k)""")
 def quantile_normalize(spark, sf_dir):
-    m = lineitem(spark, sf_dir).where("l_linenumber <= 3").select(F.col("l_linenumber").alias("c"), F.col("l_orderkey").alias("r"), F.col("l_extendedprice").alias("v"))
+    m = lineitem(spark, sf_dir).where("l_linenumber <= 3").groupBy(F.col("l_linenumber").alias("c"), F.col("l_suppkey").alias("r")).agg(F.max("l_extendedprice").alias("v"))
     full = m.groupBy("r").agg(F.count("*").alias("n")).where("n = 3").select("r")
     return rounded(T.quantile_normalize(m.join(full, "r", "left_semi"), "c", "r", "v"), 3)
 
 
-_GRID = "SELECT 1000.0 * unnest(range(0, 40)) AS x"
-
-
 @query("kde_gaussian", f"""
     WITH d AS (SELECT o_totalprice AS v FROM orders), s AS (SELECT count(*) AS n, stddev_samp(v) * pow(0.75 * count(*), -0.2) AS h FROM d), g AS (SELECT (10000.0 * unnest(range(0, 41)))::DOUBLE AS x)
     SELECT x, round(sum(exp(-0.5 * pow((x - v) / h, 2)) / sqrt(2 * pi())) / (any_value(n) * any_value(h)) * 1e6, 6) AS density FROM g, d, s GROUP BY x""")

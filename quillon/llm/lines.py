@@ -183,20 +183,10 @@ def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashing.distinct(row, h, len(lines))[:2]
 
 
-def _totals(batches):
-    """Adds the number of distinct shingles to (id, line)."""
-    for b in batches:
-        row, _ = _sets(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(row, minlength=b.num_rows).astype(float))], ["id", "line", "total"])
-
-
-def _features(batches):
-    """The shingles of (id, line), each of weight 1."""
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            part = b.slice(at, 4096)
-            row, h = _sets(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(h.view(np.int64)), pa.array(np.ones(len(h)))], ["id", "feature", "weight"])
+def _features(bodies: pa.Array):
+    """The shingles of a column of lines: row, hash, weight 1."""
+    row, h = _sets(bodies.to_pylist())
+    return row, h, np.ones(len(h))
 
 
 def _verifier(batches):
@@ -235,16 +225,14 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
         bodies = rows.select("text").mapInArrow(_fetcher(shared), "id long, line string")
     else:
         bodies = rows.select("text").mapInArrow(_fetcher(None), "id long, line string").join(wanted, "id", "left_semi")
-    bodies = stored(bodies.dropDuplicates(["id"]).mapInArrow(_totals, "id long, line string, total double"))
-    features = bodies.select("id", "line").mapInArrow(_features, "id long, feature long, weight double")
-    bounds = bodies.select("id", "total").join(links.alone(features), "id", "left").select("id", "total", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+    bodies = stored(bodies.dropDuplicates(["id"]).select("id", F.col("line").alias("body")))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        left = bodies.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-        right = bodies.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+        left = bodies.select(F.col("id").alias("a"), F.col("body").alias("line_a"))
+        right = bodies.select(F.col("id").alias("b"), F.col("body").alias("line_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verifier, "a long, b long, similarity double")
 
-    roots = stored(links.linked(members, compare, reach, stored(bounds)))
+    roots = stored(links.linked(members, bodies, compare, _features, reach))
     places = marked.where("shard IS NULL").select("id", "doc", F.posexplode("lines").alias("at", "name")).where("name IS NOT NULL")
     number = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")
     place = F.struct("id", "doc", "at")

@@ -1,27 +1,33 @@
-"""From buckets of candidates to classes: every link between different items is found, without pairing whole buckets.
+"""From buckets of candidates to classes: every link between different items is found, without making rows of pairs.
 
-0. What only one item has bounds its similarity to all others; items that can't reach the threshold with any other are set aside.
-1. Each bucket has a leader, the item with the least of its own. All members are compared with the leader only: as many comparisons as members.
+1. Each bucket has a leader, its least id. All members are compared with the leader only: as many comparisons as members.
 2. Verified links are joined to components by alternating large-star and small-star steps on edge tables.
-3. A member that isn't linked to its leader may still be linked to others of its bucket. It is compared with those that are in
-   another component and that neither the bound nor the leader's distance rules out: Jaccard distances obey the triangle inequality, so
-   of two items within distance t the distances to the leader differ by t at most.
+3. A member that isn't linked to its leader may still be linked to others of its bucket. Such buckets are cut into blocks of BLOCK items; each
+   pair of blocks is one small group, in which all overlaps come from one matrix product. Only pairs in different components that the
+   leader's distance doesn't rule out are looked at (Jaccard distances obey the triangle inequality, so of two items within distance t
+   the distances to the leader differ by t at most), and one link for two components is enough.
 
-So a bucket of n copies costs n comparisons, and two items of a bucket that are linked always end in one component. All steps are
-joins and aggregates over tables; nothing is collected.
+So a bucket of n copies costs n comparisons, no group holds more than two blocks, and two items of a bucket that are linked always end in one
+component. All steps are joins and aggregates over tables; nothing is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
 
 #: Copies of a bucket's leader row, so that the members of a large bucket are dealt over as many tasks.
 SALTS = 8
+#: Items of a block, and features that are multiplied at once.
+BLOCK, COLUMNS = 256, 16_384
+#: Rows that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 500_000
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -44,47 +50,87 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _may(own: str, other: str, reach: float) -> Column:
-    """Whether two items can be linked at all: what only one of them has is missing from their overlap and is part of their union."""
-    w1, x1, w2, x2 = (F.col(f"{side}.{c}") for side in (own, other) for c in ("total", "alone"))
-    return (w1 - x1 >= (reach - 1e-9) * (w1 + x2)) & (w2 - x2 >= (reach - 1e-9) * (w2 + x1))
-
-
-def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], reach: float, bounds: DataFrame, alike: Callable | None = None) -> DataFrame:
+def overlaps(row: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """[n, n]: for each two items, sum over common features of sqrt(w w'): at least the sum of the lesser weights, and equal to it for equal weights."""
+    order = np.argsort(keys, kind="stable")
+    row, keys, root = row[order], keys[order], np.sqrt(weights[order]).astype(np.float32)
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    at = np.cumsum(first) - 1
+    shared = np.bincount(at)[at] > 1 if len(keys) else first
+    row, at, root = row[shared], at[shared], root[shared]
+    at = np.unique(at, return_inverse=True)[1] if len(at) else at
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(at.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[a:b], at[a:b] - lo] = root[a:b]
+        out += m @ m.T
+    return out
+
+
+def _within(features, reach: float):
+    """Of two blocks of a bucket (bucket, i, j; id, root, distance, block, body): links between components that aren't joined yet."""
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        ids, roots, far, block = (t.column(c).to_numpy() for c in ("id", "root", "distance", "block"))
+        n = len(ids)
+        wanted = (roots[:, None] != roots[None, :]) & (np.abs(far[:, None] - far[None, :]) <= 1 - reach + 1e-9)
+        wanted &= (far > 1 - reach)[:, None] | (far > 1 - reach)[None, :]
+        wanted &= (block == i)[:, None] & (block == j)[None, :]
+        if i == j:
+            wanted = np.triu(wanted, 1)
+        out_a, out_b = [], []
+        if wanted.any():
+            row, keys, w = features(t.column("body").combine_chunks())
+            total = np.bincount(row, w, n)
+            over = overlaps(row, keys, w, n)
+            most = over / np.maximum(total[:, None] + total[None, :] - over, 1e-300)
+            cut = np.searchsorted(row, np.arange(n + 1))
+            joined = set()
+            x, y = np.nonzero(wanted & (most >= reach - 1e-4))
+            for k in np.argsort(-most[x, y], kind="stable").tolist():
+                a, b = int(x[k]), int(y[k])
+                pair = (min(roots[a], roots[b]), max(roots[a], roots[b]))
+                if pair in joined:
+                    continue
+                p, q = slice(cut[a], cut[a + 1]), slice(cut[b], cut[b + 1])
+                _, u, v = np.intersect1d(keys[p], keys[q], assume_unique=True, return_indices=True)
+                common = np.minimum(w[p][u], w[q][v]).sum()
+                if common / max(total[a] + total[b] - common, 1e-300) >= reach:
+                    joined.add(pair)
+                    out_a.append(ids[a])
+                    out_b.append(ids[b])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def linked(members: DataFrame, bodies: DataFrame, compare: Callable[[DataFrame], DataFrame], features, reach: float) -> DataFrame:
     """(id, root) of all items that are linked to another one.
 
-    members: bucket, id and, where alike is given, sketch; only buckets of two or more ids. compare: takes pairs (a, b) and gives a, b, similarity.
-    reach: the least similarity of a link. bounds: id, total (the weight of the item's features) and alone (of those that no other member has).
-    alike: a condition on two sketches that linked items hardly ever miss.
+    members: bucket, id; only buckets of two or more ids. bodies: id, body, what the items are compared by. compare: takes pairs (a, b) and gives
+    a, b, similarity. features: of an Arrow column of bodies, the distinct features (row, hash, weight), rows in order, hashes rising in a row.
+    reach: the least similarity of a link.
     """
-    ids = ["id", "total", "alone"] + (["sketch"] if alike is not None else [])
-    # an item with too much of its own is linked to none
-    rows = members.join(bounds.where((F.col("total") - F.col("alone")) >= (reach - 1e-9) * F.col("total")), "id").select("bucket", *ids)
-    crowded = rows.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("total")).alias("share"), "id", "total", "alone")).alias("l"), F.count("*").alias("n")).where("n > 1")
-    leaders = stored(crowded.select("bucket", F.col("l.id").alias("leader"), F.col("l.total").alias("leader_total"), F.col("l.alone").alias("leader_alone")))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    leaders = stored(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")))
     spread = leaders.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    star = stored(rows.withColumn("salt", salt).join(spread, ["bucket", "salt"]).drop("salt"))
-    pairs = star.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    star = stored(members.withColumn("salt", salt).join(spread, ["bucket", "salt"]).where("id <> leader").select("bucket", "id", "leader", "n"))
+    pairs = star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     checked = stored(compare(pairs))
     roots = stored(components(checked.where(F.col("similarity") >= reach).select("a", "b")))
 
     far = checked.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("distance"))
-    placed = stored(star.join(far, ["leader", "id"]).join(roots, "id", "left").select("bucket", *ids, "distance", F.coalesce("root", "id").alias("root")))
-    rest = placed.where(F.col("distance") > 1 - reach)
-    if rest.isEmpty():
+    placed = stored(star.join(far, ["leader", "id"]).join(roots, "id", "left").select("bucket", "id", "n", "distance", F.coalesce("root", "id").alias("root")))
+    # buckets in which a member is out of reach of the leader, and another one isn't in its component
+    open_ = placed.groupBy("bucket").agg(F.max("distance").alias("most"), F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("most") > 1 - reach) & (F.col("k") > 1) & (F.col("r0") != F.col("r1")))
+    sizes = stored(open_.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    if sizes.isEmpty():
         return roots
-    left, right = rest.alias("l"), placed.alias("r")
-    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root")) & (F.abs(F.col("l.distance") - F.col("r.distance")) <= 1 - reach + 1e-9)
-    near = near & ((F.col("r.distance") <= 1 - reach) | (F.col("l.id") < F.col("r.id"))) & _may("l", "r", reach)
-    if alike is not None:
-        near = near & alike(F.col("l.sketch"), F.col("r.sketch"))
-    more = left.join(right, near).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    found = compare(more).where(F.col("similarity") >= reach).select("a", "b")
+    few = F.broadcast if sizes.count() <= BROADCAST else (lambda x: x)
+    dealt = placed.join(few(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "root", "distance").join(bodies.select("id", "body"), "id")
+    found = dealt.groupBy("bucket", "i", "j").applyInArrow(_within(features, reach), "a long, b long")
     return components(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(found))
-
-
-def alone(features: DataFrame) -> DataFrame:
-    """(id, alone) of rows (id, feature, weight): the weight of an item's features that no other item has."""
-    once = features.groupBy("feature").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum("weight").alias("weight")).where("n = 1")
-    return once.groupBy("id").agg(F.sum("weight").alias("alone"))

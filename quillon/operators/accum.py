@@ -179,7 +179,7 @@ def bin_of(c: str | Column, lo: float, hi: float, bins: int) -> Column:
     """The bin (from 0) of a value: [edge, next edge), the last one closed; -1 below, bins above, null where missing."""
     x = clean(c)
     width = (hi - lo) / bins
-    return F.when(x < lo, -1).when(x > hi, bins).otherwise(F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
+    return F.when(x < lo, -1).when(x > hi, bins).when(x.isNotNull(), F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, *keys: str) -> DataFrame:

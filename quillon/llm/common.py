@@ -72,4 +72,4 @@ def bounded_sample(rows: DataFrame, classes: str, per_class: int, key: str = "do
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = rows.withColumn("_share", share).join(F.broadcast(counts), classes).where(F.col("_share") * F.col("_n") <= wanted)  # at most most_classes rows
     order = Window.partitionBy(classes).orderBy("_share", F.col(key))
-    return near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class).drop("_nth", "_n", "_share")
+    return near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class).select(rows.columns)

@@ -39,7 +39,7 @@ def _register(name: str, d: dist.Distribution, cdf: str, density: str) -> None:
     scale = 51.0 if name == "beta" else 10.0
     sql = f"""
     WITH g AS (SELECT q, q AS k, q / 10.0 AS x FROM (SELECT DISTINCT l_quantity AS q FROM lineitem))
-    SELECT q, round({cdf}, 6)::DOUBLE AS cdf, round(1 - {cdf}, 6)::DOUBLE + 0.0 AS sf, round({density}, 6)::DOUBLE AS {'mass' if d.discrete else 'density'}, {'true AS back' if d.discrete else 'round(q / 51.0, 8)::DOUBLE AS back'} FROM g"""
+    SELECT q, round({cdf}, 9)::DOUBLE AS cdf, round(1 - {cdf}, 9)::DOUBLE + 0.0 AS sf, round({density}, 9)::DOUBLE AS {'mass' if d.discrete else 'density'}, {'true AS back' if d.discrete else 'round(q / 51.0, 8)::DOUBLE AS back'} FROM g"""
 
     def run(spark, sf_dir):
         q = F.col("q")
@@ -50,8 +50,8 @@ def _register(name: str, d: dist.Distribution, cdf: str, density: str) -> None:
             # the quantile is the least k whose cdf reaches u
             grid = grid.withColumn("k", d.quantile(u))
             back = ((d.cdf(F.col("k")) >= u) & (d.cdf(F.col("k") - 1) < u)).alias("back")
-            return grid.select("q", F.round(d.cdf(x), 6).alias("cdf"), F.round(d.sf(x), 6).alias("sf"), F.round(d.mass(x), 6).alias("mass"), back)
-        return grid.select("q", F.round(d.cdf(x), 6).alias("cdf"), F.round(d.sf(x), 6).alias("sf"), F.round(d.density(x), 6).alias("density"), F.round(d.cdf(d.quantile(u)), 8).alias("back"))
+            return grid.select("q", F.round(d.cdf(x), 9).alias("cdf"), F.round(d.sf(x), 9).alias("sf"), F.round(d.mass(x), 9).alias("mass"), back)
+        return grid.select("q", F.round(d.cdf(x), 9).alias("cdf"), F.round(d.sf(x), 9).alias("sf"), F.round(d.density(x), 9).alias("density"), F.round(d.cdf(d.quantile(u)), 8).alias("back"))
 
     query(f"dist_{name}", sql)(run)
 

@@ -109,3 +109,16 @@ def tfce_ols_enumerated(spark, sf_dir):
 def node_stats(spark, sf_dir):
     """The t statistic of a tested column at each node."""
     return P.node_stats(_subjects(spark, sf_dir), np.arange(12.0), None).select("node", F.round("stat", 6).alias("stat"))
+
+
+@query("masked_import_export", f"""
+    WITH c AS (SELECT DISTINCT {_CELL} AS lin FROM lineitem WHERE l_returnflag = 'A')
+    SELECT g.lin, CASE WHEN c.lin IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS stat FROM (SELECT unnest(range(0, {DIMS[0] * DIMS[1] * DIMS[2]})) AS lin) g LEFT JOIN c ON c.lin = g.lin""")
+def masked_import_export(spark, sf_dir):
+    """Masked data in, and a map of ones out, over the whole box."""
+    from quillon.sources import masked
+
+    cells = _cells(spark, sf_dir, "l_returnflag").where("l_returnflag = 'A'").select(F.lit(0).alias("subject"), "lin", "value")
+    data = masked.import_from(cells, DIMS)
+    one = data.values.select("node", F.lit(1.0).alias("stat"), F.lit(1.0).alias("tfce"), F.lit(1.0).alias("p_fwe"), F.lit(1.0).alias("p_unc"))
+    return masked.export_to(one, data.nodes, DIMS).select("lin", "stat")

@@ -51,11 +51,11 @@ def box_cox(spark, sf_dir):
 
 @query("yeo_johnson", """
     SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 6) AS half,
-      round(CASE WHEN c_acctbal >= 0 THEN ln(c_acctbal + 1) ELSE -(pow(1 - c_acctbal, 2) - 1) / 2 END, 2) AS zero, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 2) - 1) / 2000 ELSE -ln(1 - c_acctbal) / 1000 END, 2) AS two
+      round(CASE WHEN c_acctbal >= 0 THEN ln(c_acctbal + 1) ELSE -(pow(1 - c_acctbal, 2) - 1) / 2 END, 2) AS zero, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 2) - 1) / 2000 ELSE -ln(1 - c_acctbal) / 1000 END, 2) + 0.0 AS two
     FROM customer""")
 def yeo_johnson(spark, sf_dir):
     x = "c_acctbal"
-    return _customers(spark, sf_dir).select("c_custkey", F.round(T.yeo_johnson(x, 0.5), 6).alias("half"), F.round(T.yeo_johnson(x, 0.0), 2).alias("zero"), F.round(T.yeo_johnson(x, 2.0) / 1000, 2).alias("two"))
+    return _customers(spark, sf_dir).select("c_custkey", F.round(T.yeo_johnson(x, 0.5), 6).alias("half"), F.round(T.yeo_johnson(x, 0.0), 2).alias("zero"), (F.round(T.yeo_johnson(x, 2.0) / 1000, 2) + 0.0).alias("two"))
 
 
 @query("pit_and_map", f"SELECT event_id, round({phi('((value - 50) / 30)')}, 8) AS u, round(-ln(1 - {phi('((value - 50) / 30)')}), 5) AS mapped FROM events WHERE abs(value - 50) < 120")

@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 PER_LANGUAGE = 384
 MAX_LANGUAGES = 256
-CACHE = 200_000
+CACHE = 400_000
 CUT = 40
 ROUNDS = 3
 #: Probabilities are scaled by this much for each character, so that words of CUT characters stay within doubles.
@@ -204,7 +204,10 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of a text and its posterior."""
-        words = letters(text)
+        return self.judge(letters(text))
+
+    def judge(self, words: list[str]) -> tuple[str, float]:
+        """The language of the marked words of a text and its posterior."""
         if not words or not self.model["langs"] or not any(c.isalpha() for w in words for c in w[1:2]):
             return "und", 0.0
         x = self.totals(words) + self.model["prior"]
@@ -224,10 +227,9 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
         for b in batches:
             texts = b.column(len(keep))
             for at in range(0, max(1, len(texts)), 512):
-                part = texts.slice(at, 512).to_pylist()
-                new = sorted({w for t in part for w in letters(t) if w not in scorer.rows})
-                scorer._learn(new)
-                got = [scorer.predict(t) for t in part]
+                part = [letters(t) for t in texts.slice(at, 512).to_pylist()]
+                scorer._learn(sorted({w for ws in part for w in ws if w not in scorer.rows}))
+                got = [scorer.judge(ws) for ws in part]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, 512) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     return ready.mapInArrow(run, f"{kinds}, lang_pred string, score double")

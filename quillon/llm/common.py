@@ -49,14 +49,6 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def bounded_sample(rows: DataFrame, classes: str, per_class: int, key: str = "doc_id", most_classes: int = 1024) -> DataFrame:
     """About the per_class rows of each class with the least hash of their key: the same rows on every run and partitioning.
 

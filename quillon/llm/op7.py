@@ -11,5 +11,5 @@ from quillon.llm.common import documents
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, number of lines, how many went, length and hash of what is left."""
-    done = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    done = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True, least=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

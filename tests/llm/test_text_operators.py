@@ -12,7 +12,8 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, common, fingerprint, hashing, langid, licenses, lines, links, mixing, neardup, op1, spm, topk, toxic
+import corpus_pipeline
+from quillon.llm import chat, common, fingerprint, hashing, langid, licenses, lines, links, mixing, neardup, op1, op7, spm, topk, toxic
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 40_000
@@ -260,6 +261,16 @@ def test_line_dedup(spark):
     assert [r.text for r in lines.dedup_lines(twice).where("doc_id = 6").collect()] == [base[3]] * 2
 
 
+def test_op7_compares_short_lines(spark, tmp_path):
+    """Exact copies of short lines go, blank lines stay; lines of one to eleven characters that differ stay."""
+    rows = [(1, "Les.\nAnd ornd.\n\na"), (2, "Les.\n \nand  ORND.\nb\nWh the."), (3, "Wh the.\nLes.\na\n\nLes!")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_dropped, r.text_sha256) for r in op7.op7_line_dedup(spark, str(tmp_path)).collect()}
+    want = {1: (0, rows[0][1]), 2: (2, " \nb\nWh the."), 3: (3, "\nLes!")}
+    assert got == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs(spark, rows), "").collect()} == {i: t for i, (_, t) in want.items()}
+
+
 # --- 8 toxicity -------------------------------------------------------------------------------------------------------
 
 

@@ -363,6 +363,17 @@ def test_near_duplicates(spark):
     assert neardup.one_of_each(nulls).count() == 3
 
 
+def test_near_copies_in_a_hot_group(spark):
+    """A third of the rows are copies of one text; near copies of it (3 and 4 edited words of 200) are linked to it all the same."""
+    base = words(200, 1)
+    apart = lambda ks: " ".join(f"edited{i}" if i in ks else w for i, w in enumerate(base.split()))
+    hot = [apart({20, 90, 160}), apart({20, 70, 120, 170})]
+    rows = [(i, base) for i in range(100)] + [(100 + i, t) for i, t in enumerate(hot)] + [(200 + i, words(200, 1000 + i)) for i in range(198)]
+    assert all(0.81 < jaccard(shingle_set(base), shingle_set(t)) < 0.87 for t in hot)
+    got = {r.id: r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
+    assert got == {i: 0 if i < 200 else i for i, _ in rows}
+
+
 def test_links_between_members_of_a_bucket_that_miss_the_leader(spark):
     """Item 0 leads one bucket of all; the others are a chain in which only neighbours are alike. Every link must be found."""
     size, step = 40, 4

@@ -74,8 +74,16 @@ def inv_pit(u: str | Column, dist) -> Column:
 
 
 def quantile_map(x: str | Column, source, target) -> Column:
-    """target.quantile(source.cdf(x)), in one function."""
-    return S.column(lambda v: target.numpy.quantile(source.numpy.cdf(v)), _col(x))
+    """target.quantile(source.cdf(x)), in one function; between continuous distributions, upper tails go by sf and isf, since their cdf rounds to 1."""
+    a, b = source.numpy, target.numpy
+    if source.discrete or target.discrete:
+        return S.column(lambda v: b.quantile(a.cdf(v)), _col(x))
+
+    def mapped(v):
+        u = a.cdf(v)
+        return np.where(u > 0.5, b.isf(a.sf(v)), b.quantile(u))
+
+    return S.column(mapped, _col(x))
 
 
 def pava(total: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -120,6 +120,31 @@ def test_quantile_normalize(spark):
     assert back[1, 3] is None and sum(v is not None for v in back.values()) == 11
 
 
+def test_transform_queries_cover_all_rows(spark, tmp_path):
+    """Against brute force: missing entries and all columns, the tails of events, and digamma(1)."""
+    from quillon.plans import transforms
+
+    r = np.random.default_rng(8)
+    m = np.round(r.gamma(2.0, 900.0, (7, 9)), 2)
+    m[4, :2] = m[5, 3:6] = m[6, [1, 8]] = np.nan
+    rows = [(int(c) + 1, int(s), float(m[c, s]), float(q)) for q, (c, s) in enumerate(zip(*np.nonzero(~np.isnan(m)), strict=True), 1)]
+    spark.createDataFrame(rows, "l_linenumber int, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(x.c, x.r): x.v for x in transforms.quantile_normalize(spark, str(tmp_path)).collect()}
+    n, seen = m.shape[1], [np.flatnonzero(~np.isnan(c)) for c in m]
+    place = [np.arange(len(s)) * (n - 1) / (len(s) - 1) for s in seen]
+    target = np.mean([np.interp(np.arange(n), p, np.sort(c[s])) for c, s, p in zip(m, seen, place, strict=True)], 0)
+    want = {(c + 1, int(s)): float(np.interp(place[c][k], np.arange(n), target)) for c in range(7) for k, s in enumerate(seen[c][np.argsort(m[c, seen[c]])])}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-4) for k in want)
+    values = [-200.0, 0.0, 50.0, 169.0, 171.0, 300.0, 490.02, 560.21]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = {x.event_id: x for x in transforms.pit_and_map(spark, str(tmp_path)).collect()}
+    for i, v in enumerate(values):
+        upper = math.erfc((v - 50) / 30 / math.sqrt(2)) / 2
+        assert found[i].u == pytest.approx(1 - upper, abs=1e-8) and found[i].mapped == pytest.approx(-math.log(upper), abs=1e-5)
+    back = {x.q: x.digamma for x in transforms.digamma(spark, str(tmp_path)).collect()}
+    assert len(back) == len(rows) and all(back[q] == pytest.approx(-0.5772156649015329 + sum(1 / j for j in range(1, int(q))), abs=2e-9) for q in back)
+
+
 def test_density(spark):
     x = [1.0, 2.0, 4.0]
     fit = K.kde(frame(spark, x), "x", K.Kernel.EPANECHNIKOV, K.Bandwidth("fixed", 1.5))

@@ -258,6 +258,8 @@ def tfce_naive(maps: DataFrame, edges: DataFrame, thresholds, weights, e: float,
         now = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError("labels did not settle")
     sizes = now.groupBy(*keys, "label").agg(F.count("*").alias("size"))
     summed = now.join(sizes, [*keys, "label"]).groupBy("map_id", "node").agg(F.sum(F.pow(F.col("size").cast("double"), F.lit(float(e))) * F.col("w")).alias("tfce"))
     return maps.select("map_id", "node").join(summed, ["map_id", "node"], "left").select("map_id", "node", F.coalesce("tfce", F.lit(0.0)).alias("tfce"))

@@ -236,6 +236,14 @@ def test_bands_by_joins(spark):
         T.tfce_bands(maps, d, [1.0, 0.5], [1.0, 1.0], 0.5)
 
 
+def test_labels_that_do_not_settle(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    chain = spark.createDataFrame([(7, i, 1.0) for i in range(30)], "map_id long, node long, stat double")
+    edges = spark.createDataFrame([x for i in range(29) for x in ((i, i + 1), (i + 1, i))], "src long, dst long")
+    with pytest.raises(RuntimeError, match="settle"):
+        T.tfce_naive(chain, edges, [0.5], [1.0], 1.0, most=2)
+
+
 def test_inference(spark, tmp_path):
     rng = np.random.default_rng(5)
     d = G.Domain.from_volume((4, 4, 1), 6)

@@ -374,6 +374,14 @@ def test_near_copies_in_a_hot_group(spark):
     assert got == {i: 0 if i < 200 else i for i, _ in rows}
 
 
+def test_clip_does_not_depend_on_size(spark):
+    """Over a million shingles above the clip keep their frequencies."""
+    n = 1_000_100
+    text = " ".join(map(str, range(n)))
+    w = neardup.weights(docs(spark, [(1, text), (2, text + " more")]))
+    assert len(w.keys) == n - 4 and w.common == pytest.approx(math.log(3)) and np.allclose(w.idf, math.log(2))
+
+
 def test_links_between_members_of_a_bucket_that_miss_the_leader(spark):
     """Item 0 leads one bucket of all; the others are a chain in which only neighbours are alike. Every link must be found."""
     size, step = 40, 4

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import graph as G
 from quillon.operators import permute as P
 from quillon.operators import tfce as T
+from quillon.operators.storage import shared_dir
 from quillon.plans.descriptive import lineitem
 from quillon.plans.register import Register
 
@@ -72,10 +73,7 @@ def tfce_bands(spark, sf_dir):
 @query("tfce_bands_naive")
 def tfce_bands_naive(spark, sf_dir):
     """By DataFrame joins alone."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_dir(spark)
     edges = G.edge_table(G.node_table(spark, DIMS), DIMS, 6)
     return T.tfce_naive(_maps(spark, sf_dir), edges, _H, _W, 0.5)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from quillon.operators.storage import shared_dir
 from quillon.plans.descriptive import rounded
 from quillon.plans.register import Register
 from quillon.streaming import windows
@@ -22,7 +22,7 @@ def _stream(spark, sf_dir):
 
 def _drained(spark, frame, mode: str = "complete"):
     name = f"drained_{uuid.uuid4().hex[:12]}"
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    where = shared_dir(spark)
     q = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{where.rstrip('/')}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.storage import shared_dir
+
 #: Rows whose crc32(id) mod FOLDS is 0 are held out of every training set.
 FOLDS = 5
 
@@ -28,17 +29,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where unset (tests), a temporary folder becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if java.isDefined():
-            return java.get()
-        found = f"file://{tempfile.mkdtemp(prefix='shared_')}"
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+#: Tables that this process has stored, in order.
+_stored: list[str] = []
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -46,9 +38,45 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", codec).parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A with-block at whose end the tables stored in it are deleted, but for those given to keep."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.first, self.kept = spark, len(_stored), set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Store rows whose table outlives the block."""
+        out = stored(df)
+        self.kept.add(_stored[-1])
+        return out
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark._jvm
+        for path in [p for p in _stored[self.first :] if p not in self.kept]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _stored.remove(path)
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, share: int = 10_000) -> DataFrame:
+    """rows joined to a table that has one row for each key; its column n is the number of rows of the key.
+
+    Keys that hold more than one in share of all rows are broadcast, fewer than share of them; the rows of other keys meet in a shuffle. So
+    no task gets the rows of a frequent key.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * share > total
+    hot, rest = table.where(often), table.where(~often)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on))
+
+
 def bounded_sample(rows: DataFrame, classes: str, per_class: int, key: str = "doc_id", most_classes: int = 1024) -> DataFrame:
     """About the per_class rows of each class with the least hash of their key: the same rows on every run and partitioning.
 

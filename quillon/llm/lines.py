@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import hashing, links
-from quillon.llm.common import stored
+from quillon.llm.common import dealt_join, stored
 
 U = np.uint64
 SHINGLE = 8
@@ -228,12 +228,7 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
         bodies = rows.select("text").mapInArrow(_fetcher(None, short), "id long, line string").join(wanted, "id", "left_semi")
     bodies = stored(bodies.dropDuplicates(["id"]).select("id", F.col("line").alias("body")))
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        left = bodies.select(F.col("id").alias("a"), F.col("body").alias("line_a"))
-        right = bodies.select(F.col("id").alias("b"), F.col("body").alias("line_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verifier, "a long, b long, similarity double")
-
-    roots = stored(links.linked(members, bodies, compare, _features, reach))
+    roots = stored(links.components(links.linked(members, bodies, _verifier, _features, reach)))
     places = marked.where("shard IS NULL").select("id", "doc", F.posexplode("lines").alias("at", "name")).where("name IS NOT NULL")
     number = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")
     place = F.struct("id", "doc", "at")
@@ -242,15 +237,9 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
     # a line outside all components is its own
     own = F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("root").cast("string").cast("binary"))
     many = many.withColumn("own", own)
-    stays = many.groupBy("own").agg(F.min("place").alias("stays"))
-    judged = stored(many.join(stays, "own").select("name", "stays", "n"))
-    total = judged.count()
-    if total <= BROADCAST:
-        found = places.join(F.broadcast(judged), "name")
-    else:  # the most frequent lines, ten thousand at most, are broadcast; they'd meet in single tasks else
-        often = judged.agg(F.sum("n")).first()[0] / 10_000
-        hot, rest = judged.where(F.col("n") >= often), judged.where(F.col("n") < often)
-        found = places.join(F.broadcast(hot), "name").unionByName(places.join(F.broadcast(hot.select("name")), "name", "left_anti").join(rest, "name"))
+    stays = many.groupBy("own").agg(F.min("place").alias("stays"), F.count("*").alias("names"))
+    judged = stored(dealt_join(many, stored(stays), ["own"], "names").select("name", "stays", "n"))
+    found = dealt_join(places, judged, ["name"], "n").drop("n")
     gone = found.where(F.struct("id", "doc", "at") != F.col("stays"))
     return stored(gone.groupBy(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.sort_array(F.collect_set("at")).alias("_line_gone")))
 

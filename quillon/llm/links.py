@@ -1,11 +1,13 @@
-"""From buckets of candidates to classes: every link between different items is found, without making rows of pairs.
+"""From buckets of candidates to classes: every link between different items is found, without making rows of all pairs.
 
-1. Each bucket has a leader, its least id. All members are compared with the leader only: as many comparisons as members.
+1. Each bucket has a leader, its least id. All members are compared with the leader only: as many comparisons as members. The leader's body is copied
+   once for SALT_ROWS members, so that the members of a large bucket are dealt over many tasks.
 2. Verified links are joined to components by alternating large-star and small-star steps on edge tables.
-3. A member that isn't linked to its leader may still be linked to others of its bucket. Such buckets are cut into blocks of BLOCK items; each
-   pair of blocks is one small group, in which all overlaps come from one matrix product. Only pairs in different components that the
-   leader's distance doesn't rule out are looked at (Jaccard distances obey the triangle inequality, so of two items within distance t
-   the distances to the leader differ by t at most), and one link for two components is enough.
+3. Links may be lacking only between a bucket's minority, the members outside its largest component, and others. While that is much work, the minority elects another
+   leader, which is compared with all members that it isn't joined to yet: again as many comparisons as members.
+4. What is left is compared in blocks of BLOCK items, minority blocks with all blocks that the distances don't rule out: Jaccard distances obey
+   the triangle inequality, so of two items within distance t the distances to the leader differ by t at most. A block holds items of one range of
+   distances. Each two blocks are one small group, in which all overlaps come from matrix products; one link for two components is enough.
 
 So a bucket of n copies costs n comparisons, no group holds more than two blocks, and two items of a bucket that are linked always end in one
 component. All steps are joins and aggregates over tables; nothing is collected.
@@ -20,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import dealt_join, stored
 
-#: Copies of a bucket's leader row, so that the members of a large bucket are dealt over as many tasks.
-SALTS = 8
+#: Members of a bucket for each copy of its leader's body.
+SALT_ROWS = 2000
 #: Items of a block, and features that are multiplied at once.
 BLOCK, COLUMNS = 256, 16_384
-#: Rows that are broadcast at most; more are joined by a shuffle.
-BROADCAST = 500_000
+#: Another leader is elected while the blocks would copy more bodies than this many times the members, and at most ROUNDS times.
+SPREAD, ROUNDS = 4, 6
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -69,17 +71,13 @@ def overlaps(row: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int) ->
 
 
 def _within(features, reach: float):
-    """Of two blocks of a bucket (bucket, i, j; id, root, distance, block, body): links between components that aren't joined yet."""
+    """Of two blocks of a bucket (id, root, distance, side, body), side 0 and 1, or 2 for a block with itself: links between components that aren't joined yet."""
 
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, roots, far, block = (t.column(c).to_numpy() for c in ("id", "root", "distance", "block"))
+        ids, roots, far, side = (t.column(c).to_numpy() for c in ("id", "root", "distance", "side"))
         n = len(ids)
         wanted = (roots[:, None] != roots[None, :]) & (np.abs(far[:, None] - far[None, :]) <= 1 - reach + 1e-9)
-        wanted &= (far > 1 - reach)[:, None] | (far > 1 - reach)[None, :]
-        wanted &= (block == i)[:, None] & (block == j)[None, :]
-        if i == j:
-            wanted = np.triu(wanted, 1)
+        wanted &= np.triu(np.ones((n, n), bool), 1) if (side == 2).any() else (side == 0)[:, None] & (side == 1)[None, :]
         out_a, out_b = [], []
         if wanted.any():
             row, keys, w = features(t.column("body").combine_chunks())
@@ -106,31 +104,69 @@ def _within(features, reach: float):
     return run
 
 
-def linked(members: DataFrame, bodies: DataFrame, compare: Callable[[DataFrame], DataFrame], features, reach: float) -> DataFrame:
-    """(id, root) of all items that are linked to another one.
+def _checked(pairs: DataFrame, bodies: DataFrame, verify) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b, n): n is the number of pairs that a may be in. The body of a is copied for every SALT_ROWS of them."""
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    pairs = stored(pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("salts", salts))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    leads = pairs.groupBy("a").agg(F.max("salts").alias("salts"))
+    left = bodies.join(leads, F.col("id") == F.col("a")).select("a", F.col("body").alias("body_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
+    return dealt.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long, similarity double")
 
-    members: bucket, id; only buckets of two or more ids. bodies: id, body, what the items are compared by. compare: takes pairs (a, b) and gives
-    a, b, similarity. features: of an Arrow column of bodies, the distinct features (row, hash, weight), rows in order, hashes rising in a row.
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    return stored(components(edges))
+
+
+def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, reach: float) -> DataFrame:
+    """(a, b): verified links, among them enough for complete components of all items.
+
+    members: bucket, id; only buckets of two or more ids. bodies: id, body, what the items are compared by. verify: of Arrow batches (a, b, body_a, body_b)
+    gives a, b, similarity. features: of an Arrow column of bodies, the distinct features (row, hash, weight), rows in order, hashes rising in a row.
     reach: the least similarity of a link.
     """
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    within = 1 - reach
     leaders = stored(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")))
-    spread = leaders.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    star = stored(members.withColumn("salt", salt).join(spread, ["bucket", "salt"]).where("id <> leader").select("bucket", "id", "leader", "n"))
-    pairs = star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    checked = stored(compare(pairs))
-    roots = stored(components(checked.where(F.col("similarity") >= reach).select("a", "b")))
-
+    star = stored(dealt_join(members, leaders, ["bucket"], "n").where("id <> leader"))
+    checked = stored(_checked(star.select(F.col("leader").alias("a"), F.col("id").alias("b"), "n"), bodies, verify))
+    roots = _rooted(checked.where(F.col("similarity") >= reach).select("a", "b"))
     far = checked.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("distance"))
-    placed = stored(star.join(far, ["leader", "id"]).join(roots, "id", "left").select("bucket", "id", "n", "distance", F.coalesce("root", "id").alias("root")))
-    # buckets in which a member is out of reach of the leader, and another one isn't in its component
-    open_ = placed.groupBy("bucket").agg(F.max("distance").alias("most"), F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("most") > 1 - reach) & (F.col("k") > 1) & (F.col("r0") != F.col("r1")))
-    sizes = stored(open_.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
-    if sizes.isEmpty():
-        return roots
-    few = F.broadcast if sizes.count() <= BROADCAST else (lambda x: x)
-    dealt = placed.join(few(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "root", "distance").join(bodies.select("id", "body"), "id")
-    found = dealt.groupBy("bucket", "i", "j").applyInArrow(_within(features, reach), "a long, b long")
-    return components(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(found))
+    # buckets in which a member is out of reach of the leader
+    open_ = stored(star.join(far, ["leader", "id"]).select("bucket", "id", "distance"))
+    wide = open_.groupBy("bucket").agg(F.max("distance").alias("most"), F.count("*").alias("n")).where((F.col("most") > within) & (F.col("n") > 1)).select("bucket", "n")
+    spots = stored(dealt_join(open_, stored(wide), ["bucket"], "n"))
+    for left in range(ROUNDS, -1, -1):
+        placed = stored(spots.join(roots, "id", "left").select("bucket", "id", "distance", F.coalesce("root", "id").alias("root")))
+        sizes = stored(placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.min(F.struct("id", "distance")).alias("first")))
+        # of each bucket: its largest component; and the first member of the largest of the others
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("n")).where("parts > 1").select("bucket", F.col("main.root").alias("main"), "n")
+        main = stored(main)
+        if main.isEmpty():
+            return roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+        cell = F.floor(F.col("distance") / within).cast("int")
+        parted = stored(dealt_join(placed, main, ["bucket"], "n").select("bucket", "id", "distance", "root", "n", (F.col("root") != F.col("main")).alias("minor"), cell.alias("cell")))
+        counts = stored(parted.groupBy("bucket", "minor", "cell").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")))
+        small = counts.where("minor").select("bucket", F.col("cell").alias("cell_i"), F.col("k").alias("k_i"), F.col("blocks").alias("blocks_i"))
+        other = counts.select("bucket", F.col("minor").alias("minor_j"), F.col("cell").alias("cell_j"), F.col("k").alias("k_j"), F.col("blocks").alias("blocks_j"))
+        both = small.join(other, "bucket").where("abs(cell_i - cell_j) <= 1 AND (NOT minor_j OR cell_j >= cell_i)")
+        work, rows = both.agg(F.sum(F.col("k_i") * F.col("blocks_j") + F.col("k_j") * F.col("blocks_i"))).first()[0], counts.agg(F.sum("k")).first()[0]
+        if not left or (work or 0) <= SPREAD * rows:
+            break
+        elected = sizes.join(main.select("bucket", "main"), "bucket").where("root <> main").groupBy("bucket").agg(F.max_by(F.struct("first", "root"), F.struct("k", "root")).alias("e"))
+        elected = stored(elected.select("bucket", F.col("e.first.id").alias("leader"), F.col("e.first.distance").alias("at"), F.col("e.root").alias("own")).join(main.select("bucket", "n"), "bucket"))
+        rest = dealt_join(parted.select("bucket", "id", "distance", "root"), elected, ["bucket"], "n").where((F.col("root") != F.col("own")) & (F.abs(F.col("distance") - F.col("at")) <= within + 1e-9))
+        again = _checked(rest.select(F.col("leader").alias("a"), F.col("id").alias("b"), "n"), bodies, verify).where(F.col("similarity") >= reach)
+        roots = _rooted(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(again.select("a", "b")))
+
+    pairs = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_i") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_j") - 1)))
+    self_ = F.col("minor_j") & (F.col("cell_i") == F.col("cell_j"))
+    group = ["bucket", "cell_i", "i", "minor_j", "cell_j", "j"]
+    pairs = pairs.where(~self_ | (F.col("j") >= F.col("i"))).withColumn("alone", self_ & (F.col("i") == F.col("j"))).select(*group, "alone")
+    one = pairs.select(*group, F.lit(True).alias("minor"), F.col("cell_i").alias("cell"), F.col("i").alias("block"), F.when(F.col("alone"), 2).otherwise(0).alias("side"))
+    two = pairs.where("NOT alone").select(*group, F.col("minor_j").alias("minor"), F.col("cell_j").alias("cell"), F.col("j").alias("block"), F.lit(1).alias("side"))
+    blocks = counts.select("bucket", "minor", "cell", "blocks", "k")
+    items = dealt_join(parted.drop("n"), stored(blocks), ["bucket", "minor", "cell"], "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = one.unionByName(two).join(items, ["bucket", "minor", "cell", "block"]).select(*group, "side", "id", "root", "distance").join(bodies.select("id", "body"), "id")
+    found = dealt.groupBy(*group).applyInArrow(_within(features, reach), "a long, b long")
+    return stored(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(found))

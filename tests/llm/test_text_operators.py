@@ -361,6 +361,8 @@ def test_near_duplicates(spark):
     assert neardup.one_of_each(df.where("false")).count() == 0
     nulls = docs(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")])
     assert neardup.one_of_each(nulls).count() == 3
+    alone = docs(spark, [(None, "g h i j k l"), (1, "a b c d e f"), (None, None)])
+    assert sorted((r.id or 0, r.class_id or 0) for r in neardup.classes(alone).collect()) == [(0, 0), (0, 0), (1, 1)]
 
 
 def test_near_copies_in_a_hot_group(spark):
@@ -382,7 +384,7 @@ def test_clip_does_not_depend_on_size(spark):
     assert len(w.keys) == n - 4 and w.common == pytest.approx(math.log(3)) and np.allclose(w.idf, math.log(2))
 
 
-def test_links_between_members_of_a_bucket_that_miss_the_leader(spark):
+def test_links_between_members_of_a_bucket_that_miss_the_leader(spark, monkeypatch):
     """Item 0 leads one bucket of all; the others are a chain in which only neighbours are alike. Every link must be found."""
     size, step = 40, 4
     sets = {i: set(range(1000 + i * step, 1000 + i * step + size)) for i in range(1, 40)} | {0: set(range(size))}
@@ -393,17 +395,16 @@ def test_links_between_members_of_a_bucket_that_miss_the_leader(spark):
         got = [np.array(sorted(map(int, x.split(","))), np.uint64) for x in c.to_pylist()]
         return np.repeat(np.arange(len(got)), [len(x) for x in got]), np.concatenate(got), np.ones(sum(map(len, got)))
 
-    def compare(pairs):
-        j = pairs.join(bodies.select(F.col("id").alias("a"), F.split("body", ",").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.split("body", ",").alias("y")), "b")
-        return j.select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("similarity"))
-
-    old = links.BLOCK
-    links.BLOCK = 7
-    try:
-        got = {r.id: r.root for r in links.linked(members, bodies, compare, features, 0.8).collect()}
-    finally:
-        links.BLOCK = old
-    assert got == {i: 1 for i in range(1, 40)}
+    def verify(batches):
+        for b in batches:
+            x, y = ([set(t.split(",")) for t in b.column(i).to_pylist()] for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p & q) / len(p | q) for p, q in zip(x, y, strict=True)], pa.float64())], ["a", "b", "similarity"])
+
+    for block, rounds, spread, salt_rows in ((7, 0, 4, 3), (7, 3, 0, 2000)):
+        for name, value in (("BLOCK", block), ("ROUNDS", rounds), ("SPREAD", spread), ("SALT_ROWS", salt_rows)):
+            monkeypatch.setattr(links, name, value)
+        got = {r.id: r.root for r in links.components(links.linked(members, bodies, verify, features, 0.8)).collect()}
+        assert got == {i: 1 for i in range(1, 40)}
 
 
 def test_components(spark):

@@ -1,12 +1,12 @@
 """Fuzzy line dedup: MinHash signatures of character shingles, banding, exact Jaccard verification, distributed union-find; one line of each component stays.
 
 A line is compared as its lower-case characters with white space run together, by the set of its shingles of SHINGLE characters. One hash for each shingle is
-dealt into BANDS x ROWS bins, the least of a bin is its value, and empty bins take over the next filled one. Lines of Jaccard similarity 0.8
-share a band with probability 0.99. Bands are packed and counted by shard, so only buckets with two different lines become rows.
+dealt into BANDS x ROWS bins, the least of a bin is its value, and empty bins take over the next filled one. Lines of Jaccard similarity REACH
+share a band with probability 0.987. Bands are packed and counted by shard, so only buckets with two different lines become rows.
 Candidates are verified on the exact shingle sets and classes are complete (see links). Of all lines of a component, over all documents,
 the one at the least position (document id, text hash, line number) stays; all others go.
 
-Defined results: a null text stays null, an empty one empty; blank lines, and lines of under least characters where a caller asks for that, always stay; a document
+Defined results: a null text stays null, an empty one empty; blank lines always stay, all others are compared, however short; a document
 keeps its row even if no line is left (its text is then empty); repeated rows of one id and text are one document and fare alike; null ids
 come first; an empty table gives no rows; all columns come back, the text replaced; names of helper columns start with "_line_".
 """
@@ -25,15 +25,15 @@ from quillon.llm import hashing, links
 from quillon.llm.common import dealt_join, stored
 
 U = np.uint64
-SHINGLE = 8
-REACH = 0.8
-BANDS, ROWS = 12, 5
+SHINGLE = 5
+REACH = 0.75
+BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
-#: Characters of a line that is compared, where the caller names no other number; the queries and the pipeline compare all lines (1).
-LEAST = 12
 #: Pairs (band key, line) that a task holds before it sends them.
 FLUSH = 6_000_000
 DOCS_PER_SHARD = 2000
+#: Lines that a task keeps in mind so as to send them once.
+SEEN = 2_000_000
 #: Rows that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Characters that are hashed together.
@@ -85,7 +85,7 @@ def bands(lines: list[str]) -> np.ndarray:
 _MARKED = pa.schema([("id", pa.int64()), ("doc", pa.string()), ("lines", pa.list_(pa.binary())), ("shard", pa.int32()), ("pairs", pa.binary())])
 
 
-def _marker(shard_bits: int, short: int):
+def _marker(shard_bits: int):
     """Of documents (id, text): a row with the names of its lines (null: always stays), and packed band rows of the distinct lines of a task."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -117,7 +117,7 @@ def _marker(shard_bits: int, short: int):
                     continue
                 names = []
                 for line in text.split("\n"):
-                    if len(line) < short or not (plain := normal(line)):
+                    if not (plain := normal(line)):
                         names.append(None)
                         continue
                     own = name(line)
@@ -158,8 +158,8 @@ def _crowded(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "id": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
 
 
-def _fetcher(shared, short: int):
-    """Of texts: (id, line) of the lines asked for, each once in a task; of all lines where none are named."""
+def _fetcher(shared):
+    """Of texts: (id, line) of the lines asked for, or of all, each once in a task (or in SEEN lines)."""
 
     def run(batches):
         wanted = None if shared is None else shared.value
@@ -168,11 +168,12 @@ def _fetcher(shared, short: int):
             ids, lines = [], []
             for text in b.column(0):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= short and (number := int.from_bytes(name(line)[:8], "big", signed=True)) not in seen and (wanted is None or number in wanted):
-                        if wanted is not None:
-                            seen.add(number)
+                    if line and (number := int.from_bytes(name(line)[:8], "big", signed=True)) not in seen and (wanted is None or number in wanted):
+                        seen.add(number)
                         ids.append(number)
                         lines.append(normal(line))
+            if len(seen) > SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
     return run
@@ -211,21 +212,21 @@ def _small(df: DataFrame, count: int | None = None):
     return F.broadcast if (df.count() if count is None else count) <= BROADCAST else (lambda x: x)
 
 
-def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: float = REACH, short: int = LEAST) -> DataFrame:
+def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: float = REACH) -> DataFrame:
     """(_line_id, _line_doc, _line_gone): for each document that loses lines, its id, the md5 of its text, and the numbers of the lines."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     shard_bits = min(20, max(6, math.ceil(math.log2(max(1, rows.count() / DOCS_PER_SHARD)))))
-    marked = stored(rows.mapInArrow(_marker(shard_bits, short), "id long, doc string, lines array<binary>, shard int, pairs binary"))
+    marked = stored(rows.mapInArrow(_marker(shard_bits), "id long, doc string, lines array<binary>, shard int, pairs binary"))
     packed = marked.where("shard IS NOT NULL").select("shard", "pairs")
     members = stored(packed.groupBy("shard").applyInArrow(_crowded, "bucket long, id long"))
     wanted = stored(members.select("id").distinct())
     n = wanted.count()
     if n <= BROADCAST:
         shared = spark.sparkContext.broadcast(frozenset(wanted.toArrow().column("id").to_pylist()))
-        bodies = rows.select("text").mapInArrow(_fetcher(shared, short), "id long, line string")
+        bodies = rows.select("text").mapInArrow(_fetcher(shared), "id long, line string")
     else:
-        bodies = rows.select("text").mapInArrow(_fetcher(None, short), "id long, line string").join(wanted, "id", "left_semi")
+        bodies = rows.select("text").mapInArrow(_fetcher(None), "id long, line string").join(wanted, "id", "left_semi")
     bodies = stored(bodies.dropDuplicates(["id"]).select("id", F.col("line").alias("body")))
 
     roots = stored(links.components(links.linked(members, bodies, _verifier, _features, reach)))
@@ -244,9 +245,9 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
     return stored(gone.groupBy(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.sort_array(F.collect_set("at")).alias("_line_gone")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: float = REACH, counts: bool = False, least: int = LEAST) -> DataFrame:
-    """docs with the lines that repeat others taken out; with counts, also n_lines and n_dropped. Lines of under least characters stay; 1 compares all but blank ones."""
-    gone = doomed(docs, key, text, reach, least)
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: float = REACH, counts: bool = False) -> DataFrame:
+    """docs with the lines that repeat others taken out; with counts, also n_lines and n_dropped."""
+    gone = doomed(docs, key, text, reach)
     marked = docs.withColumn("_line_own", F.md5(text))
     on = F.col(key).cast("long").eqNullSafe(F.col("_line_id")) & (F.col("_line_own") == F.col("_line_doc"))
     joined = marked.join(_small(gone)(gone), on, "left")

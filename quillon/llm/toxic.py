@@ -1,17 +1,17 @@
 """Toxic passages by maximum-scoring segments.
 
 Words get log-odds of standing in toxic text, from the numbers of texts that hold them, with Dirichlet priors in levels: the rate of a word is drawn towards that of its first five letters, that
-towards the first four, the first three and at last the base rate; each level adds STRENGTH pseudo-counts. Words without enough
-evidence score BACKGROUND (below zero). A linear scan finds all maximal scoring segments of a text (Ruzzo and Tompa). Their
+towards the first four, the first three and at last the base rate; each level adds STRENGTH pseudo-counts. A word that wasn't seen has the log-odds of its
+longest known beginning, or 0. All are lowered by DRIFT, so that ordinary text drifts down. A linear scan finds all maximal scoring segments of a text (Ruzzo and Tompa). Their
 significance is that of extreme values: E = K n exp(-lambda S) for a text of n words, where lambda solves
 sum p(s) exp(lambda s) = 1 over the scores of non-toxic text and K is fitted to the best segments of non-toxic texts. A logistic
 curve over -ln E of the best segment and the sum over significant segments gives the probability of the label.
 
 Bounds: the scores are learned from at most PER_CLASS labelled rows of each label, drawn by the hash of the id, and the curve from as many
-others; at most LARGEST words and beginnings are kept. Scoring is one map over the texts, without a shuffle.
+others; all their words are kept. Scoring is one map over the texts, without a shuffle.
 
 Defined results: a null or empty text has no segment and gets the curve's value for that; without labelled rows of both classes every score
-is 0; several labels of one id count as toxic if one is; repeated rows give repeated results; an empty table gives no rows; only the id
+is 1 / (1 + exp(30)), next to 0; several labels of one id count as toxic if one is; repeated rows give repeated results; an empty table gives no rows; only the id
 and the text are read in scoring, so clashing extra columns don't matter.
 """
 
@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bounded_sample
 
 PER_CLASS = 4000
-LARGEST = 50_000
-STRENGTH = 10.0
-BACKGROUND = -0.3
-#: Least log-odds of a word or beginning that is kept.
-EVIDENCE = 1.5
+STRENGTH = 5.0
+#: Taken off the log-odds of every word.
+DRIFT = 1.0
 #: Beginnings of words, from short to long.
 LEVELS = (3, 4, 5)
 SIGNIFICANT = 0.05
+#: Bound of lambda, for backgrounds without a positive score.
+STEEPEST = 64.0
 CACHE = 200_000
 _WORDS = re.compile(r"\w+")
 
@@ -52,19 +52,24 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(hot):
         return []
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    out: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
-    for i in hot.tolist():
-        new = (i, i + 1, float(total[i]), float(total[i + 1]))
+    # candidates: start, end, total before and after, and the last earlier candidate with a smaller total before
+    start, end, low, high, link = [], [], [], [], []
+    for i, a, b in zip(hot.tolist(), total[hot].tolist(), total[hot + 1].tolist(), strict=True):
+        s, j = i, len(start) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
+            while j >= 0 and low[j] >= a:
+                j = link[j]
+            if j < 0 or high[j] >= b:
                 break
-            new = (out[j][0], new[1], out[j][2], new[3])
-            del out[j:]
-    return [(s, e, b - a) for s, e, a, b in out]
+            s, a, back = start[j], low[j], link[j]
+            del start[j:], end[j:], low[j:], high[j:], link[j:]
+            j = back
+        start.append(s)
+        end.append(i + 1)
+        low.append(a)
+        high.append(b)
+        link.append(j)
+    return [(s, e, b - a) for s, e, a, b in zip(start, end, low, high, strict=True)]
 
 
 def karlin(values: np.ndarray, weights: np.ndarray) -> float:
@@ -86,7 +91,7 @@ def karlin(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def scores_of(toxic: Counter, other: Counter) -> dict[str, float]:
-    """Log-odds of words, and of beginnings (with * at the end), where there is evidence; at most LARGEST. Takes numbers of texts."""
+    """Scores of words, and of beginnings (with * at the end): log-odds less DRIFT. Takes numbers of texts."""
     n1, n0 = sum(toxic.values()), sum(other.values())
     base = n1 / (n1 + n0)
     rates: dict[str, float] = {"": base}
@@ -102,11 +107,7 @@ def scores_of(toxic: Counter, other: Counter) -> dict[str, float]:
         stem = key[:-1] if key.endswith("*") else key + "?"
         parent = next((rates[f"{stem[:x]}*"] for x in reversed(LEVELS) if x < len(stem)), base) if len(stem) > LEVELS[0] else base
         rates[key] = (a + STRENGTH * parent) / (a + b + STRENGTH)
-    odds = {k: math.log(r / (1 - r)) - math.log(base / (1 - base)) for k, r in rates.items() if k}
-    warm = {k for k, s in odds.items() if s >= EVIDENCE}
-    under = {k for k in odds if not k.endswith("*") and any(f"{k[:x]}*" in warm for x in LEVELS)}
-    kept = sorted(warm | under, key=lambda k: (-abs(odds[k]) * sum(counts[k]), k))[:LARGEST]
-    return {k: odds[k] if odds[k] >= EVIDENCE else min(odds[k], BACKGROUND) for k in kept}
+    return {k: math.log(r / (1 - r)) - math.log(base / (1 - base)) - DRIFT for k, r in rates.items() if k}
 
 
 class Model:
@@ -123,7 +124,7 @@ class Model:
         """The score of a word: its own, or that of its longest known beginning."""
         s = self.odds.get(w)
         if s is None:
-            s = next((x for k in reversed(LEVELS) if len(w) >= k and (x := self.odds.get(f"{w[:k]}*")) is not None), BACKGROUND)
+            s = next((x for k in reversed(LEVELS) if len(w) >= k and (x := self.odds.get(f"{w[:k]}*")) is not None), -DRIFT)
         return s
 
     def scored(self, text: str | None) -> np.ndarray:
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = bounded_sample(known, "label", 2 * per_class).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 4 x per_class ids
-    count = sample.where("half = 0").select("label", "text").mapInArrow(_counted, "label int, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    count = sample.where("half = 0").select("label", "text").mapInArrow(_counted, "label int, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")).toPandas()
     pick = lambda k: Counter(dict(zip(count["word"][count["label"] == k], count["n"][count["label"] == k].tolist(), strict=True)))
     toxic, other = pick(1), pick(0)
     if not toxic or not other:
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     for w, n in other.items():
         background[model.word(w)] += n
     rate = karlin(np.array(list(background), float), np.array(list(background.values()), float))
-    model.rate = min(rate, 4.0)
+    model.rate = min(rate, STEEPEST)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def best(batches):

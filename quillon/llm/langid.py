@@ -6,10 +6,10 @@ probabilities are learned by expectation maximisation (forward-backward over the
 
 Bounds: per_language rows of each language, drawn by the hash of their id; at most MAX_LANGUAGES languages, so the model that is broadcast
 holds at most MAX_LANGUAGES x vocabulary numbers. Priors count all labelled rows. Prediction is one map over the texts, without a shuffle;
-words are scored once for each cache of a worker, which is bounded by CACHE words.
+words are scored once for each cache of a worker, which is bounded by CACHE words. Words of over LONG characters are summed one by one, in logarithms, so
+that any length stays within doubles; they aren't kept.
 
-Defined results: "und" and score 0 for a text that is null or has no letter (or where no labelled row was given); words longer than
-CUT characters are scored in pieces of that length; equal likelihoods go to the language that sorts first; repeated rows give repeated results; an
+Defined results: "und" and score 0 for a text that is null or has no letter (or where no labelled row was given); very long words are scored whole; equal likelihoods go to the language that sorts first; repeated rows give repeated results; an
 empty table gives no rows; columns other than the id and the text are never read in a prediction.
 """
 
@@ -31,21 +31,51 @@ MARK = "▁"
 PER_LANGUAGE = 384
 MAX_LANGUAGES = 256
 CACHE = 400_000
-CUT = 40
+LONG = 40
 ROUNDS = 3
-#: Probabilities are scaled by this much for each character, so that words of CUT characters stay within doubles.
+#: Probabilities are scaled by this much for each character, so that words of LONG characters stay within doubles.
 GAIN = 24.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str | None) -> list[str]:
-    """The lower-case runs of letters of a text, marked; long ones are cut."""
-    if not text:
-        return []
-    found = [MARK + w for w in _WORDS.findall(text.lower())]
-    if any(len(w) > CUT for w in found):
-        found = [w[i : i + CUT] for w in found for i in range(0, len(w), CUT)]
-    return found
+    """The lower-case runs of letters of a text, marked."""
+    return [MARK + w for w in _WORDS.findall(text.lower())] if text else []
+
+
+def edges(word: str, start: int, vocabulary: dict[str, int], unknown: int):
+    """(end, piece) of all pieces of a word that begin at a place; a character that is no piece is unknown."""
+    for end in range(start + 1, len(word) + 1):
+        p = vocabulary.get(word[start:end])
+        if p is None:
+            if end == start + 1:
+                yield end, unknown
+            return
+        if p >= 0 or end == start + 1:
+            yield end, p if p >= 0 else unknown
+
+
+def long_forward(word: str, vocabulary: dict[str, int], unknown: int, ln_p: np.ndarray) -> np.ndarray:
+    """ln of the sum over the segmentations of the first characters, for every place: [place, language]. ln_p: [piece, language]."""
+    out = np.full((len(word) + 1, ln_p.shape[1]), -np.inf)
+    out[0] = 0
+    for s in range(len(word)):
+        for e, p in edges(word, s, vocabulary, unknown):
+            out[e] = np.logaddexp(out[e], out[s] + ln_p[p])
+    return out
+
+
+def long_expected(word: str, vocabulary: dict[str, int], unknown: int, p: np.ndarray, weight: float, used: np.ndarray) -> None:
+    """Add to used how often each piece is used, over all segmentations of a long word, in one language."""
+    ln_p = np.log(p)
+    alpha = long_forward(word, vocabulary, unknown, ln_p[:, None])[:, 0]
+    beta = np.full(len(word) + 1, -np.inf)
+    beta[-1] = 0
+    for s in range(len(word) - 1, -1, -1):
+        for e, k in edges(word, s, vocabulary, unknown):
+            flow = ln_p[k] + beta[e]
+            beta[s] = np.logaddexp(beta[s], flow)
+            used[k] += weight * np.exp(alpha[s] + flow - alpha[-1])
 
 
 def pieces(path: str = VOCABULARY) -> list[str]:
@@ -63,18 +93,10 @@ class Lattice:
 
     def __init__(self, vocabulary: dict[str, int], words: list[str], unknown: int) -> None:
         w_, s_, e_, p_ = [], [], [], []
-        get = vocabulary.get
         for k, word in enumerate(words):
-            n = len(word)
-            for s in range(n):
-                for e in range(s + 1, n + 1):
-                    p = get(word[s:e])
-                    if p is None:
-                        if e == s + 1:
-                            w_.append(k), s_.append(s), e_.append(e), p_.append(unknown)
-                        break
-                    if p >= 0 or e == s + 1:
-                        w_.append(k), s_.append(s), e_.append(e), p_.append(p if p >= 0 else unknown)
+            for s in range(len(word)):
+                for e, p in edges(word, s, vocabulary, unknown):
+                    w_.append(k), s_.append(s), e_.append(e), p_.append(p)
         self.n, self.lengths = len(words), np.array([len(w) for w in words], np.int64)
         e = np.array(e_, np.int64)
         order = np.argsort(e, kind="stable")
@@ -137,9 +159,12 @@ def learn(texts: list[str | None], vocabulary: list[str], known: dict[str, int],
     v = len(vocabulary)
     p = np.full(v + 1, 1 / (v + 1))
     if words:
-        lattice, weight = Lattice(known, words, v), np.array([counts[w] for w in words], float)
+        short, long = [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]
+        lattice, weight = Lattice(known, short, v), np.array([counts[w] for w in short], float)
         for _ in range(rounds):
             used = lattice.expected(scaled(p, vocabulary), weight)
+            for w in long:
+                long_expected(w, known, v, p, counts[w], used)
             p = (used + smooth) / (used.sum() + smooth * (v + 1))
     return p
 
@@ -172,6 +197,8 @@ class Scorer:
     def __init__(self, model: dict) -> None:
         self.model, self.known = model, with_prefixes(model["vocabulary"])
         self.p = model["p"].astype(float)
+        with np.errstate(divide="ignore"):
+            self.ln_p = np.log(self.p) - np.array([len(x) for x in model["vocabulary"]] + [1])[:, None] * np.log(GAIN)
         self._forget()
 
     def _forget(self) -> None:
@@ -189,6 +216,9 @@ class Scorer:
 
     def totals(self, words: list[str]) -> np.ndarray:
         """ln likelihood of the words in each language."""
+        if any(len(w) > LONG for w in words):
+            long = sum(long_forward(w, self.known, len(self.model["vocabulary"]), self.ln_p)[-1] for w in words if len(w) > LONG)
+            return long + self.totals([w for w in words if len(w) <= LONG])
         rows = list(map(self.rows.get, words))
         if None in rows:
             new = sorted({w for w, r in zip(words, rows, strict=True) if r is None})
@@ -208,7 +238,7 @@ class Scorer:
 
     def judge(self, words: list[str]) -> tuple[str, float]:
         """The language of the marked words of a text and its posterior."""
-        if not words or not self.model["langs"] or not any(c.isalpha() for w in words for c in w[1:2]):
+        if not words or not self.model["langs"] or not any(c.isalpha() for w in words for c in w[1:]):
             return "und", 0.0
         x = self.totals(words) + self.model["prior"]
         x = np.exp(x - x.max())
@@ -219,8 +249,9 @@ class Scorer:
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, lang_pred and score of every text. The words of many texts are scored together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ready = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{c}` {ready.schema[c].dataType.simpleString()}" for c in keep)
+    own = [f"_k{i}" for i in range(len(keep))]  # the columns may have any names
+    ready = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, own, strict=True)), F.col("text").alias("_text"))
+    kinds = ", ".join(f"{k} {ready.schema[k].dataType.simpleString()}" for k in own)
 
     def run(batches):
         scorer = Scorer(shared.value)
@@ -228,8 +259,9 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
             texts = b.column(len(keep))
             for at in range(0, max(1, len(texts)), 512):
                 part = [letters(t) for t in texts.slice(at, 512).to_pylist()]
-                scorer._learn(sorted({w for ws in part for w in ws if w not in scorer.rows}))
+                scorer._learn(sorted({w for ws in part for w in ws if len(w) <= LONG and w not in scorer.rows}))
                 got = [scorer.judge(ws) for ws in part]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, 512) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, 512) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*own, "lang_pred", "score"])
 
-    return ready.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    done = ready.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return done.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), "lang_pred", "score")

@@ -6,12 +6,13 @@ would repeat a source more often than the limit, the least that keeps the limit.
 
 A source of weight w gets w x budget tokens: whole epochs of all its documents, then part of one more. Documents are dealt into blocks by
 a hash; every epoch orders the blocks, and the documents in a block, by hashes of its own. The part epoch takes whole blocks in that order
-while they fit; of the block that doesn't, it takes documents in order while they fit. Running sums go over blocks (a few
-thousandths of the rows) and over the documents of one block for each source, never over all documents of a source.
+while they fit; of the block that doesn't, it takes documents in order while they fit. Running sums go over blocks, in two levels (ranges of the
+order, then the blocks of a range), and over the documents of one block for each source, never over all documents of a source.
 
 Defined results: a null source is the empty source; a null text has no tokens; sources without tokens get no weight and no copies; ties
-in a hash go to the smaller id, repeated rows are rows of their own; an empty table gives no rows; all columns come back, and epoch,
-block_order and slot (the order of blocks and of documents in the epoch).
+in a hash go to the smaller id, then to fewer tokens; repeated rows are rows of their own, of which as many are given as fit; an empty table gives no rows; all
+columns come back, and epoch, block_order and slot (the order of blocks and of documents in the epoch), which take the place of columns of these
+names; names of helper columns start with "_mix_".
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import stored
 
 BLOCK_ROWS = 2048
+#: Bits of the ranges of block orders that running sums go over first.
+RANGE_BITS = 8
 #: Levels of halving that one pass evaluates, and passes.
 LEVELS, PASSES = 4, 9
 #: Rows of the source and block tables that are broadcast at most; more are joined by a shuffle.
@@ -127,28 +130,47 @@ def mix(docs: DataFrame, target: Target | None = None, key: str = "doc_id", sour
     dealt = light.join(few(sources.select("source", "blocks", "whole", "part")), "source").withColumn("block", block)
 
     sums = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.max("whole").alias("epoch"), F.max("part").alias("part"))
-    running = Window.partitionBy("source").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = sums.withColumn("block_order", order).withColumn("upto", F.sum("block_tokens").over(running))
-    blocks = blocks.withColumn("room", F.col("part") - (F.col("upto") - F.col("block_tokens")))
+    blocks = stored(sums.withColumn("block_order", order).withColumn("range", F.shiftright("block_order", 60 - RANGE_BITS)))
+    upper = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.groupBy("source", "range").agg(F.sum("block_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(upper), F.lit(0))).drop("t")
+    running = Window.partitionBy("source", "range").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.join(before, ["source", "range"]).withColumn("upto", F.col("before") + F.sum("block_tokens").over(running))
+    blocks = stored(blocks.withColumn("room", F.col("part") - (F.col("upto") - F.col("block_tokens"))).where("room >= 0"))
     # of each source: the blocks that fit, and the first that doesn't
-    cut = F.min(F.when(F.col("upto") > F.col("part"), F.struct("block_order", "block"))).over(Window.partitionBy("source"))
-    blocks = blocks.withColumn("is_cut", F.struct("block_order", "block") == cut)
-    blocks = stored(blocks.where("upto <= part OR is_cut").select("source", "block", F.coalesce("is_cut", F.lit(False)).alias("is_cut"), "room"))
+    cut = blocks.where("upto > part").groupBy("source").agg(F.min(F.struct("block_order", "block")).alias("cut"))
+    blocks = blocks.join(cut, "source", "left").withColumn("is_cut", F.coalesce(F.struct("block_order", "block") == F.col("cut"), F.lit(False)))
+    blocks = stored(blocks.where("upto <= part OR is_cut").select("source", "block", "is_cut", "room"))
     some = F.broadcast if blocks.count() <= BROADCAST else (lambda x: x)
 
-    # rows of the cut blocks, one block for each source, that still fit
-    slot = hashed(target.seed, "slot", F.col("epoch"), F.col("id"))
-    within = Window.partitionBy("source", "block").orderBy("slot", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fitting = dealt.join(some(blocks.where("is_cut").select("source", "block", "room")), ["source", "block"]).withColumn("epoch", F.col("whole")).withColumn("slot", slot)
-    fitting = fitting.withColumn("upto", F.sum("tokens").over(within)).where("upto <= room").select(F.col("id").alias("_fits"), F.col("source").alias("_fits_source")).distinct()
-    fitting = stored(fitting)
-
-    own = docs.withColumn("_source", name).join(few(sources.select(F.col("source").alias("_known"), F.col("blocks").alias("_blocks"), F.col("whole").alias("_whole"))), F.col("_source") == F.col("_known"))
-    own = own.withColumn("_block", F.pmod(hashed(target.seed, "block", F.col(key)), F.col("_blocks")))
-    own = own.join(some(blocks.where("NOT is_cut").select(F.col("source").alias("_bs"), F.col("block").alias("_bb"))), (F.col("_source") == F.col("_bs")) & (F.col("_block") == F.col("_bb")), "left")
-    fits = F.broadcast if fitting.count() <= BROADCAST else (lambda x: x)
-    own = own.join(fits(fitting), (F.col(key).eqNullSafe(F.col("_fits"))) & (F.col("_source") == F.col("_fits_source")), "left")
-    copies = F.col("_whole") + F.when(F.col("_bs").isNotNull() | F.col("_fits_source").isNotNull(), 1).otherwise(0)
-    out = own.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    out = out.withColumn("block_order", hashed(target.seed, "order", F.col("epoch"), F.col("_source"), F.col("_block"))).withColumn("slot", hashed(target.seed, "slot", F.col("epoch"), F.col(key)))
-    return out.select(*(F.col(c) for c in docs.columns if c not in ("epoch", "block_order", "slot")), "epoch", "block_order", "slot")
+    # rows of the cut blocks, one block for each source: how many of each (id, tokens) still fit
+    slot = hashed(target.seed, "slot", F.col("whole"), F.col("id"))
+    within = Window.partitionBy("source", "block").orderBy("slot", "id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = dealt.join(some(blocks.where("is_cut").select("source", "block", "room")), ["source", "block"])
+    fitting = fitting.groupBy("source", "block", "id", "tokens", "whole", "room").agg(F.count("*").alias("rows")).withColumn("slot", slot)
+    fitting = fitting.withColumn("left", F.col("room") - F.sum(F.col("rows") * F.col("tokens")).over(within) + F.col("rows") * F.col("tokens"))
+    fits = F.when(F.col("left") < 0, 0).when(F.col("tokens") == 0, F.col("rows")).otherwise(F.least("rows", F.floor(F.col("left") / F.col("tokens"))))
+    fitting = stored(fitting.withColumn("fits", fits.cast("long")).where("fits > 0").select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_fs"), F.col("tokens").alias("_mix_ft"), "rows", "fits"))
+
+    own = docs.withColumn("_mix_source", name).join(few(sources.select(F.col("source").alias("_mix_known"), F.col("blocks").alias("_mix_blocks"), F.col("whole").alias("_mix_whole"))), F.col("_mix_source") == F.col("_mix_known"))
+    own = own.withColumn("_mix_block", F.pmod(hashed(target.seed, "block", F.col(key)), F.col("_mix_blocks")))
+    marks = blocks.select(F.col("source").alias("_mix_bs"), F.col("block").alias("_mix_bb"), F.col("is_cut").alias("_mix_cut"))
+    own = own.join(some(marks), (F.col("_mix_source") == F.col("_mix_bs")) & (F.col("_mix_block") == F.col("_mix_bb")), "left")
+    own = own.withColumn("_mix_tokens", F.when(F.col("_mix_cut"), tokens(F.col(text))))
+    near = F.broadcast if fitting.count() <= BROADCAST else (lambda x: x)
+    counts = fitting.select("_mix_id", "_mix_fs", "_mix_ft", F.col("rows").alias("_mix_rows"), F.col("fits").alias("_mix_fits"))
+    own = own.join(near(counts), F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_source") == F.col("_mix_fs")) & (F.col("_mix_tokens") == F.col("_mix_ft")), "left")
+    if not fitting.where("fits < rows").isEmpty():  # repeated rows of which some fit: at most one (id, tokens) of each source
+        torn = F.coalesce(F.col("_mix_fits") < F.col("_mix_rows"), F.lit(False))
+        order_ = Window.partitionBy("_mix_source", key, "_mix_tokens").orderBy(F.md5(text))
+        some_fit = own.where(torn).withColumn("_mix_fits", F.when(F.row_number().over(order_) <= F.col("_mix_fits"), F.col("_mix_fits")))
+        own = own.where(~torn).unionByName(some_fit)
+    copies = F.col("_mix_whole") + F.when((F.col("_mix_bs").isNotNull() & ~F.col("_mix_cut")) | F.col("_mix_fits").isNotNull(), 1).otherwise(0)
+    out = own.withColumn("_mix_copies", copies).where("_mix_copies > 0").withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies") - 1)))
+    e = F.col("_mix_epoch")
+    new = (e.alias("epoch"), hashed(target.seed, "order", e, F.col("_mix_source"), F.col("_mix_block")).alias("block_order"), hashed(target.seed, "slot", e, F.col(key)).alias("slot"))
+    return out.select(*(F.col(c) for c in docs.columns if c not in ("epoch", "block_order", "slot")), *new)
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of a mixture in the order of its epochs, blocks and slots, dealt out by ranges of blocks."""
+    return mixed.repartitionByRange("epoch", "block_order").sortWithinPartitions("epoch", "block_order", "slot")

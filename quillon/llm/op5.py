@@ -45,13 +45,17 @@ def _sql() -> str:
     per_block AS (SELECT source, block, sum(tokens)::BIGINT AS t, any_value(whole) AS epoch, any_value(part) AS part FROM dealt GROUP BY ALL),
     ordered AS (SELECT *, sum(t) OVER (PARTITION BY source ORDER BY block_order, block) AS upto FROM (SELECT *, {h(seed, "'order'", "epoch", "source", "block")} AS block_order FROM per_block)),
     judged AS (SELECT *, part - (upto - t) AS room, upto <= part AS fits, upto > part AND row_number() OVER (PARTITION BY source, upto > part ORDER BY block_order, block) = 1 AS is_cut FROM ordered),
+    held AS (
+      SELECT d.source, d.block, d.id, d.tokens, any_value(j.room) AS room, count(*) AS n, {h(seed, "'slot'", "any_value(d.whole)", "d.id")} AS slot
+      FROM dealt d JOIN judged j ON d.source = j.source AND d.block = j.block AND j.is_cut GROUP BY d.source, d.block, d.id, d.tokens),
+    rooms AS (
+      SELECT *, room - sum(n * tokens) OVER (PARTITION BY source, block ORDER BY slot, id, tokens) + n * tokens AS space FROM held),
     cut AS (
-      SELECT d.id, d.source, sum(d.tokens) OVER (PARTITION BY d.source, d.block ORDER BY {h(seed, "'slot'", "d.whole", "d.id")}, d.id) AS upto, j.room
-      FROM dealt d JOIN judged j ON d.source = j.source AND d.block = j.block AND j.is_cut),
+      SELECT source, id, tokens, CASE WHEN space < 0 THEN 0 WHEN tokens = 0 THEN n ELSE least(n, space // tokens) END AS fits FROM rooms),
     copies AS (
-      SELECT d.*, d.whole + CASE WHEN j.fits OR c.id IS NOT NULL THEN 1 ELSE 0 END AS copies
+      SELECT d.*, d.whole + CASE WHEN j.fits OR row_number() OVER (PARTITION BY d.source, d.id, d.tokens) <= c.fits THEN 1 ELSE 0 END AS copies
       FROM dealt d JOIN judged j ON d.source = j.source AND d.block = j.block
-      LEFT JOIN (SELECT id, source FROM cut WHERE upto <= room) c ON d.id = c.id AND d.source = c.source)
+      LEFT JOIN cut c ON d.id IS NOT DISTINCT FROM c.id AND d.source = c.source AND d.tokens = c.tokens AND j.is_cut)
     SELECT id AS doc_id, source, epoch, {h(seed, "'order'", "epoch", "source", "block")} AS block_order, {h(seed, "'slot'", "epoch", "id")} AS slot
     FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS epoch FROM copies WHERE copies > 0)
     """

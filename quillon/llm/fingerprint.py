@@ -6,7 +6,8 @@ Two digests are compared by a bounded difference: the sum over buckets of the qu
 term; likeness is 1 - difference / greatest difference. A digest is 2 + 64 hexadecimal digits.
 
 ``with_next`` gives each row the row that follows it in the order of its key: rows are dealt out by ranges of the key and sorted within a
-range; only the last row of each range needs the first text of the next range, and gets it in a second step over one row for each range.
+range; only the last row of each range needs the first text of the next range, and gets it in a second step: a window over the numbers of the ranges
+tells which range is next, and a join on that number brings the text.
 
 Defined results: a null text is empty; texts under five bytes are padded with zero bytes for the triplets; equal texts have equal
 digests; of rows with equal keys the order is by text; null keys come first; an empty table gives no rows; extra columns are ignored;
@@ -130,9 +131,11 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     done = stored(dealt.mapInArrow(_within, _RESULT_DDL + ", part long, first_text string, first_print string, last_key long, last_text string"))
-    order = Window.orderBy("part")  # a row for each partition
+    ends = done.where("part IS NOT NULL")
+    order = Window.orderBy("part")  # a number for each partition, nothing else
     wrap = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = done.where("part IS NOT NULL").select("part", "first_text", "first_print", "last_key", "last_text")
-    edges = edges.select("last_key", "last_text", *(F.coalesce(F.lead(c).over(order), F.first(c).over(wrap)).alias(name) for c, name in (("first_text", "following"), ("first_print", "after"))))
+    nexts = ends.select("part").select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(wrap)).alias("next"))
+    firsts = ends.select(F.col("part").alias("next"), F.col("first_text").alias("following"), F.col("first_print").alias("after"))
+    edges = ends.select("part", "last_key", "last_text").join(nexts, "part").join(firsts, "next").select("last_key", "last_text", "following", "after")
     names = [n for n, _ in _RESULT]
     return done.where("part IS NULL").select(names).unionByName(edges.mapInArrow(_across, _RESULT_DDL)).withColumnRenamed("key", key)

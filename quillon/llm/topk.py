@@ -5,8 +5,8 @@ the value. For a block of queries, segments are taken in descending impact; ever
 |query| x |what is left of the vector| of its score. A block stops early only on the proof that all vectors but a few can't reach the
 k-th best score that is already certain; the possible members are then scored exactly, in integers.
 
-Queries go out in blocks of QUERY_BLOCK; each block is one pass of the candidates, of which every task keeps k rows for a query. So what is broadcast
-and what a task holds don't grow with the table. Results of tasks meet in one ranking for each query.
+Queries go out in blocks of QUERY_BLOCK; each block is one pass of the candidates, of which every task keeps k rows for a query. With several blocks, a
+block's results are stored and its broadcast is destroyed before the next. So what is broadcast and what a task or the driver holds don't grow with the table. Results of tasks meet in one ranking for each query.
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part, neither do null ids; vectors of unequal
 length are taken as followed by zeros; empty vectors score 0; a query never finds rows of its own id; ties go to the smaller id, repeated
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.common import stored
+
 QUERY_BLOCK = 16_384
 #: Queries and candidates that are scored together.
 ROWS, COLUMNS = 512, 4096
@@ -146,14 +148,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int =
     ready = vectors.where("vec_id IS NOT NULL AND values IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "values")
     queries = ready.where(is_query).groupBy("vec_id").agg(F.max("values").alias("values"))
     blocks = max(1, math.ceil(queries.count() / query_block * 1.1))
+    queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
     found = None
     for n in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
-        got = mine.toArrow().combine_chunks()
+        got = queries.where(F.col("block") == n).toArrow().combine_chunks()
         ids = got.column("vec_id").to_numpy()
         order = np.argsort(ids)
         shared = spark.sparkContext.broadcast((ids[order], _matrix(got.column("values"))[order]))
         one = ready.mapInArrow(lambda batches, s=shared: _search(*s.value, k)(batches), "query_id long, vec_id long, score long")
+        if blocks > 1:  # a block's results are stored before the next block goes out
+            one = stored(ranked(one, k))
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
+    return ranked(found, k) if blocks == 1 else found
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of every query, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import chat, common, fingerprint, hashing, langid, licenses, lines, links, mixing, neardup, op1, op7, spm, topk, toxic
+from quillon.llm import chat, common, fingerprint, hashing, langid, licenses, lines, links, mixing, neardup, op1, op5, op7, spm, topk, toxic
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 40_000
@@ -96,18 +96,33 @@ def test_forward_sums_all_segmentations():
     np.testing.assert_allclose(got, [math.log(brute_forward(w, known, p, len(vocab))) for w in ws], rtol=1e-10)
 
 
+def test_long_words_are_summed_whole():
+    """The sum in logarithms is that of the scaled pass, and expected uses agree; no length underflows."""
+    vocab = sorted({"▁", "▁a", "a", "b", "ab", "abc", "bc", "c", "▁abca"})
+    known = langid.with_prefixes(vocab)
+    p = np.random.default_rng(1).dirichlet(np.ones(len(vocab) + 1), 2).T
+    for w in ("▁abcab", "▁" + "abcxb" * 12):
+        want = langid.Lattice(known, [w], len(vocab)).logs(langid.scaled(p, vocab))[0]
+        np.testing.assert_allclose(langid.long_forward(w, known, len(vocab), np.log(p))[-1], want, rtol=1e-10)
+        used = np.zeros(len(vocab) + 1)
+        langid.long_expected(w, known, len(vocab), p[:, 0], 3.0, used)
+        np.testing.assert_allclose(used, langid.Lattice(known, [w], len(vocab)).expected(langid.scaled(p[:, 0], vocab), np.array([3.0])), rtol=1e-8, atol=1e-12)
+    assert np.isfinite(langid.long_forward("▁" + "abx" * 3000, known, len(vocab), np.log(p))[-1]).all()
+
+
 def test_language_prediction(spark):
     r = random.Random(0)
     bank = {"aa": ["thing", "with", "the", "and"], "bb": ["schön", "und", "nicht", "über"]}
     rows = [(i, " ".join(r.choice(bank[x]) for _ in range(30)), x) for i in range(60) for x in [("aa", "bb")[i % 2]]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df.where("doc_id < 40"))
-    odd = [(100, None), (101, ""), (102, "123 !?"), (103, "THE thing " * 9000), (104, "über"), (104, "über"), (105, "x" * 5000)]
+    odd = [(100, None), (101, ""), (102, "123 !?"), (103, "THE thing " * 9000), (104, "über"), (104, "über"), (105, "x" * 5000), (106, "²x"), (107, "\u2167und"), (108, "²")]
     test = spark.createDataFrame([(*o, "zz", 1.0) for o in odd], "doc_id long, text string, lang string, score double")
     got = collections.defaultdict(list)
-    for p in langid.predict(test.select("doc_id", "text"), model).collect():
+    assert langid.predict(test, model, ("doc_id", "lang", "score")).columns == ["doc_id", "lang", "score", "lang_pred", "score"]
+    for p in langid.predict(test, model).collect():
         got[p.doc_id].append((p.lang_pred, p.score))
-    assert [got[k][0][0] for k in (100, 101, 102, 103, 104)] == ["und", "und", "und", "aa", "bb"] and len(got[104]) == 2
+    assert [got[k][0][0] for k in (100, 101, 102, 103, 104, 108)] == ["und", "und", "und", "aa", "bb", "und"] and all(got[k][0][0] != "und" for k in (105, 106, 107)) and len(got[104]) == 2
     assert all(0 <= s <= 1 for v in got.values() for _, s in v)
     held = langid.predict(df.where("doc_id >= 40").select("doc_id", "text"), model).join(df, "doc_id")
     assert held.where("lang = lang_pred").count() == 20
@@ -191,6 +206,26 @@ def test_mixing_repeat_limit(spark):
     assert p["tiny"].goal / p["tiny"].tokens == pytest.approx(3.0, abs=0.11)
 
 
+def test_mixing_gives_only_the_repeated_rows_that_fit(spark, tmp_path):
+    """A budget of 9 tokens, 6 for a source of repeated rows: two rows of three tokens, not all five. The SQL agrees."""
+    import duckdb
+
+    rows = [(1, "a b c", "x")] * 5 + [(2, "d e f", "y")] * 3
+    target = mixing.Target(entropy=0.0, repeats=9.0, budget=9)
+    got = mixing.mix(docs(spark, rows).withColumn("epoch", F.lit("own")), target).groupBy("source").count().collect()
+    given = {r.source: 3 * r["count"] for r in got}
+    goals = {r.source: r.goal for r in mixing.plan(docs(spark, rows).select("source", mixing.tokens(F.col("text")).alias("tokens")), target).collect()}
+    assert given == {s: goals[s] // 3 * 3 for s in goals} and sum(given.values()) <= 9
+    more = [(i // 3, words(5, i % 4), f"s{i % 2}" if i % 5 else "rare") for i in range(400)] + [(900, "one two three", "rare")] * 40
+    docs(spark, more).repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(map(tuple, con.execute(f"SELECT doc_id, source, epoch, block_order, slot FROM ({op5.SQL})").fetchall()))
+    assert sorted(map(tuple, op5.op5_mixing(spark, str(tmp_path)).collect())) == want
+    ordered = [(r.epoch, r.block_order, r.slot) for r in mixing.in_order(op5.op5_mixing(spark, str(tmp_path))).collect()]
+    assert ordered == sorted(ordered)
+
+
 # --- 6 exact top-k ----------------------------------------------------------------------------------------------------
 
 

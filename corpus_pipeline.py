@@ -3,8 +3,11 @@
 1. toxicity: documents with toxic passages go (the label's probability is a half or more).
 2. line_dedup: of near-equal lines, over all documents, one stays.
 3. near_dedup: of each class of near-duplicate documents, one stays.
-4. mixing: sources are brought to target weights; documents may stand several times, or not at all.
+4. mixing: sources are brought to target weights; documents may stand several times, or not at all. The rows are stored in the mixture's order.
 5. sentencepiece: the texts become ids of a public vocabulary.
+
+Null texts are never toxic, lose no lines, are near duplicates of empty texts (rows of a null id aside, which always stay), carry no tokens (so they
+stand in a mixture as often as their source's epochs) and have null ids. Empty tables give no rows. Of repeated rows, near_dedup keeps one.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import lines, mixing, neardup, op8, spm, toxic
-from quillon.llm.common import documents, stored
+from quillon.llm.common import Scratch, documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the lines that repeat others; n_chars follows the text."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All rows, without the lines that repeat others; n_chars, where there is such a column, follows the text."""
+    left = lines.dedup_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +37,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mixture."""
-    return mixing.mix(docs).select(docs.columns)
+    """The rows of the mixture, in its order."""
+    return mixing.in_order(mixing.mix(docs)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that all stages give; each stage's rows are written once and read again."""
+    """The rows that all stages give; each stage's rows are written once and read again, and what it stored on the way is deleted."""
     docs = documents(spark, sf_dir)
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    with Scratch(spark) as all_:
+        for _, stage in STAGES[:-1]:
+            with Scratch(spark) as own:
+                docs = own.keep(stage(spark, docs, sf_dir))
+        all_.kept |= own.kept
+    return STAGES[-1][1](spark, docs, sf_dir)

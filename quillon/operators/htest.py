@@ -180,7 +180,8 @@ def f_test_var(df: DataFrame, value: str, group: str, a, b, *keys: str) -> DataF
     ok = (na >= 2) & (nb >= 2)
     d1, d2 = (na - 1).cast("double"), (nb - 1).cast("double")
     s = s.withColumn("f", F.when(ok, _over(F.col("va"), F.col("vb")))).withColumn("lo", f_cdf(F.col("f"), d1, d2)).withColumn("hi", f_sf(F.col("f"), d1, d2))
-    p = F.least(F.lit(1.0), 2 * F.least("lo", "hi"))
+    # least() would take the tail that isn't NaN
+    p = F.when(F.isnan("lo") | F.isnan("hi"), F.lit(math.nan)).otherwise(F.least(F.lit(1.0), 2 * F.least("lo", "hi")))
     return _result(s, keys, ok, _few(F.least(na, nb), 2), F.col("f"), d1, p)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quillon.operators.graph import Domain, NeuroError
 from quillon.operators.resample import Scheme, resample_indices, sign_flips
-from quillon.operators.tfce import InvalidParams, Tail, TfceParams, Weighting, checked_broadcast, resolve_params, tfce_map
+from quillon.operators.tfce import INFERENCE, InvalidParams, Tail, TfceParams, Weighting, checked_broadcast, resolve_params, tfce_map
 
 #: Bytes of residual data that are broadcast at most.
 LARGEST = 2 << 30
@@ -183,11 +183,12 @@ class PermProblem:
         two = self.opts.tail is Tail.TWO_SIDED
         observed = np.abs(self.tfce_obs) if two else self.tfce_obs
         maxima, exceed = [], np.zeros(self.domain.n, np.int64)
-        for d in draws:
-            m = tfce_map(self.domain, self.stats([d])[0], self.opts.params, self.opts.tail)
+        draws = list(draws)
+        for at in range(0, len(draws), self.opts.batch):
+            m = np.stack([tfce_map(self.domain, s, self.opts.params, self.opts.tail) for s in self.stats(draws[at : at + self.opts.batch])])
             m = np.abs(m) if two else m
-            maxima.append(max(0.0, float(m.max(initial=0.0))))
-            exceed += m >= observed
+            maxima += np.maximum(0.0, m.max(1, initial=0.0)).tolist()
+            exceed += (m >= observed).sum(0)
         return np.array(maxima), exceed
 
     def finalize(self, maxima: np.ndarray, exceed: np.ndarray) -> TfceInference:
@@ -250,14 +251,14 @@ def complete_rows(n: int, tested, confounds) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def tfce_ols(data, domain: Domain, *, tested=None, confounds=None, params="exact", tail: Tail | str = Tail.TWO_SIDED, seed: int = 0, n_perm: int = 10_000, num_partitions: int = 1, extend: NullState | None = None, spark: SparkSession | None = None) -> TfceInference:
+def tfce_ols(data, domain: Domain, *, tested=None, confounds=None, params="exact", tail: Tail | str = Tail.TWO_SIDED, seed: int = 0, n_perm: int = 10_000, num_partitions: int | None = None, extend: NullState | None = None, spark: SparkSession | None = None) -> TfceInference:
     """Inference on the effect of a tested column (or, without one, on the mean by sign flips).
 
     data: an array [row, node], or a DataFrame (subject, node, value), dealt by subject and node number.
     """
-    settings = resolve_params(params)
+    settings = resolve_params(params, INFERENCE)
     tail = tail if isinstance(tail, Tail) else Tail(tail)
-    if not (isinstance(seed, int) and 0 <= seed < 1 << 64) or not (isinstance(n_perm, int) and n_perm >= 1) or num_partitions < 1:
+    if not (isinstance(seed, int) and 0 <= seed < 1 << 64) or not (isinstance(n_perm, int) and n_perm >= 1) or (num_partitions is not None and num_partitions < 1):
         raise InvalidParams("seed, n_perm and num_partitions must be whole numbers in range")
     if isinstance(data, DataFrame):
         spark = data.sparkSession
@@ -267,7 +268,7 @@ def tfce_ols(data, domain: Domain, *, tested=None, confounds=None, params="exact
     pick = lambda c: None if c is None else np.asarray(c, float)[rows]
     problem = PermProblem(domain, data[rows], pick(tested), pick(confounds), PermOpts(settings, tail, seed, n_perm), extend)
     spark = spark or SparkSession.getActiveSession()
-    found = run_draws(spark, problem, num_partitions) if spark is not None else problem.run(range(problem.first, problem.draws))
+    found = run_draws(spark, problem, num_partitions or spark.sparkContext.defaultParallelism) if spark is not None else problem.run(range(problem.first, problem.draws))
     return problem.finalize(*found)
 
 

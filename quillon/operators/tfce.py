@@ -40,7 +40,8 @@ class InvalidBands(NeuroError):
 
 class Weighting(Enum):
     SMITH_NICHOLS = "smith_nichols"
-    MNE_STEP = "mne_step"
+    MNE_STEP = "mne"
+    FSLMATHS = "fslmaths"
     EXACT = "exact"
     NILEARN = "nilearn"
 
@@ -64,32 +65,39 @@ class TfceParams:
     def __post_init__(self) -> None:
         if not all(map(math.isfinite, (self.e, self.h, self.start, self.step))) or self.step <= 0:
             raise InvalidParams("settings must be finite and the step positive")
-        if self.weighting is Weighting.EXACT and (self.h <= -1 or self.start < 0):
-            raise InvalidParams("the integral needs h > -1 and start >= 0")
+        if self.start < 0 or self.weighting is Weighting.EXACT and self.h <= -1:
+            raise InvalidParams("start must be 0 at least, and the integral needs h > -1")
 
 
-#: Presets of the Python surface.
-PRESETS = {
-    "exact": TfceParams(Weighting.EXACT),
-    "nilearn": TfceParams(Weighting.NILEARN),
-    "smith_nichols": TfceParams(Weighting.SMITH_NICHOLS, start=0.1, step=0.1),
-    "fslmaths": TfceParams(Weighting.SMITH_NICHOLS, start=0.1, step=0.1),
-    "mne": TfceParams(Weighting.MNE_STEP, start=0.2, step=0.2),
-}
+#: Presets, by name.
+PRESETS = {"exact": TfceParams(Weighting.EXACT), "nilearn": TfceParams(Weighting.NILEARN)}
+#: What a weighting takes besides e and h, and whether it must be given.
+_TAKES = {Weighting.EXACT: {"start": False}, Weighting.NILEARN: {}} | {w: {"start": True, "step": True} for w in (Weighting.MNE_STEP, Weighting.SMITH_NICHOLS, Weighting.FSLMATHS)}
+#: Weightings of permutation inference: all but the plain powers of the thresholds.
+INFERENCE = frozenset(Weighting) - {Weighting.FSLMATHS}
 
 
-def resolve_params(params) -> TfceParams:
-    """A preset's name, a dict of settings with a weighting, or settings."""
-    if isinstance(params, TfceParams):
-        return params
+def resolve_params(params, accepted=frozenset(Weighting)) -> TfceParams:
+    """Settings from a preset's name or a dict: weighting, e and h, and the start and step that the weighting takes. Keys that it doesn't take are errors."""
     if isinstance(params, str):
         if params not in PRESETS:
-            raise InvalidParams(f"params must be one of {sorted(PRESETS)}")
-        return PRESETS[params]
-    known = {"weighting", "e", "h", "start", "step"}
-    if not isinstance(params, dict) or set(params) - known or "weighting" not in params:
-        raise InvalidParams(f"a dict with weighting and any of {sorted(known)}")
-    return TfceParams(**(params | {"weighting": Weighting(params["weighting"])}))
+            raise InvalidParams(f"params must be settings or one of {sorted(PRESETS)}")
+        params = PRESETS[params]
+    if isinstance(params, dict):
+        try:
+            weighting = Weighting(params["weighting"])
+        except (KeyError, ValueError):
+            raise InvalidParams(f"weighting must be one of {sorted(w.value for w in accepted)}") from None
+        takes, given = _TAKES[weighting], set(params) - {"weighting", "e", "h"}
+        if given - set(takes) or any(needed and k not in given for k, needed in takes.items()):
+            raise InvalidParams(f"{weighting.value} takes e, h and {sorted(takes)}, and needs {sorted(k for k, needed in takes.items() if needed)}")
+        try:
+            params = TfceParams(weighting, **{k: float(v) for k, v in params.items() if k != "weighting"})
+        except (TypeError, ValueError) as wrong:
+            raise InvalidParams(f"settings must be finite numbers: {wrong}") from None
+    if not isinstance(params, TfceParams) or params.weighting not in accepted:
+        raise InvalidParams(f"params must be settings of one of {sorted(w.value for w in accepted)}")
+    return params
 
 
 def grid(params: TfceParams, top: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +112,8 @@ def grid(params: TfceParams, top: float) -> tuple[np.ndarray, np.ndarray]:
     h = np.arange(params.start, top, params.step) if top > params.start else np.zeros(0)
     if params.weighting is Weighting.SMITH_NICHOLS:
         return h, h**params.h * params.step
+    if params.weighting is Weighting.FSLMATHS:
+        return h, h**params.h
     return h, np.abs(np.diff(h, prepend=0.0)) ** params.h
 
 
@@ -167,6 +177,68 @@ def enhance(domain: Domain, stat: np.ndarray, active: np.ndarray, weight_below,
     return out
 
 
+def _found(root: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots of some nodes of disjoint sets; the ways there are shortened."""
+    now = root[at]
+    while True:
+        above = root[now]
+        if np.array_equal(above, now):
+            break
+        now = above
+    root[at] = now
+    return now
+
+
+def enhance_levels(src: np.ndarray, dst: np.ndarray, level: np.ndarray, weight: np.ndarray, e: float) -> np.ndarray:
+    """Enhancement by bands, where level is the number of bands that a node belongs to.
+
+    weight[l]: the weight of the first l bands. Bands are taken from the highest down; in each, the edges that come in join components in numpy rounds, and a changed component gets a new tree node. A node's value is the sum of the
+    shares on its way to the root, taken band by band from the root's side.
+    """
+    n = len(level)
+    low = np.minimum(level[src], level[dst])
+    edges = np.flatnonzero(low)
+    low = low[edges]
+    edges = edges[np.argsort(-low.astype(np.int32), kind="stable")]
+    top = int(level.max(initial=0))
+    cut = np.searchsorted(-np.minimum(level[src[edges]], level[dst[edges]]).astype(np.int32), -np.arange(top, -1, -1), "left")
+    root, size, node = np.arange(n), np.ones(n), np.arange(n)
+    sizes, levels, bounds = [], [], []
+    parent = np.full(2 * n, -1)
+    count = n
+    for k in range(top):  # band top - k
+        here = edges[cut[k] : cut[k + 1]]
+        a, b = _found(root, src[here]), _found(root, dst[here])
+        apart = a != b
+        if apart.any():
+            a, b = a[apart], b[apart]
+            old = np.unique(np.concatenate((a, b)))
+            while len(a):
+                root[np.maximum(a, b)] = np.minimum(a, b)
+                a, b = _found(root, a), _found(root, b)
+                apart = a != b
+                a, b = a[apart], b[apart]
+            now = _found(root, old)
+            new, at = np.unique(now, return_inverse=True)
+            ids = count + np.arange(len(new))
+            parent[node[old]] = ids[at]
+            total = np.bincount(at, size[old])
+            node[new], size[new] = ids, total
+            sizes.append(total)
+            levels.append(np.full(len(new), top - k))
+            bounds.append((count, count + len(new)))
+            count += len(new)
+    parent = parent[:count]
+    size = np.concatenate((np.ones(n), *sizes))
+    height = np.concatenate((level, *levels)).astype(np.int64)
+    below = weight[height]
+    share = size**e * (below - np.where(parent >= 0, below[parent], 0.0))
+    for lo, hi in reversed(bounds):
+        up = parent[lo:hi]
+        share[lo:hi] += np.where(up >= 0, share[up], 0.0)
+    return share[:n] + np.where(parent[:n] >= 0, share[parent[:n]], 0.0)
+
+
 def _one_tail(domain: Domain, stat: np.ndarray, params: TfceParams, top: float) -> np.ndarray:
     if params.weighting is Weighting.EXACT:
         k = params.h + 1
@@ -180,8 +252,7 @@ def bands(domain: Domain, stat: np.ndarray, thresholds: np.ndarray, weights: np.
     if not len(thresholds):
         return np.zeros(len(stat))
     total = np.concatenate(([0.0], np.cumsum(weights)))
-    below = lambda x: total[np.searchsorted(thresholds, x, "left" if strict else "right")]
-    return enhance(domain, stat, stat > thresholds[0] if strict else stat >= thresholds[0], below, e)
+    return enhance_levels(domain.src, domain.dst, np.searchsorted(thresholds, stat, "left" if strict else "right"), total, e)
 
 
 def tfce_map(domain: Domain, stat: np.ndarray, params: TfceParams, tail: Tail = Tail.POSITIVE) -> np.ndarray:

@@ -104,8 +104,9 @@ def pava(total: np.ndarray, count: np.ndarray) -> np.ndarray:
 def quantile_normalize(df: DataFrame, col: str, row: str, value: str, infinities: Infinities = Infinities.AS_MISSING) -> DataFrame:
     """(col, row, value) with every column given the same distribution: the mean of the sorted columns (Bolstad et al. 2003).
 
-    A column with missing entries spreads its m observed values over the n places; missing entries stay in place. Means run over places,
-    as a table of n rows; only that table meets in one task, to be made monotone where columns are incomplete.
+    A column with missing entries spreads its m observed values over the n places, one value over all; missing entries stay in place. As extremes, infinities take
+    part in the ranks of their column, stay in place, and are left out of the means. Means run over places, as a table of n rows; only that table meets
+    in one task, to be made monotone where columns are incomplete or hold infinities.
     """
     x = F.col(value).cast("double")
     seen = present(value) & ((F.abs(x) != float("inf")) if infinities is Infinities.AS_MISSING else F.lit(True))
@@ -116,17 +117,20 @@ def quantile_normalize(df: DataFrame, col: str, row: str, value: str, infinities
     ranked = ranked.withColumn("_r", F.rank().over(by.orderBy("_x")) - 1 + (F.count("*").over(Window.partitionBy(col, "_x")) - 1) / 2)
     # the place of the i-th of m values among n places
     place = F.when(F.col("_m") > 1, F.col("_i") * (n - 1) / F.nullif(F.col("_m") - 1, F.lit(0))).otherwise(F.lit((n - 1) / 2.0))
-    complete = ranked.where(F.col("_m") < n).isEmpty()
+    infinite = F.abs("_x") == float("inf")
+    complete = ranked.where((F.col("_m") < n) | infinite).isEmpty()
     if complete:
         target = ranked.groupBy(F.col("_i").alias("_at")).agg(F.avg("_x").alias("_t"))
     else:
         nxt = F.lead("_x").over(by.orderBy("_i"))
         nxt_place = F.lead("_p").over(by.orderBy("_i"))
         pieces = ranked.withColumn("_p", place).withColumn("_x2", nxt).withColumn("_p2", nxt_place)
-        at = F.explode(F.sequence(F.ceil("_p").cast("long"), F.when(F.col("_p2").isNull(), F.floor("_p")).otherwise(F.ceil("_p2") - 1).cast("long")))
-        filled = pieces.where(F.ceil("_p") <= F.coalesce(F.ceil("_p2") - 1, F.floor("_p"))).withColumn("_at", at)
-        y = F.when(F.col("_at") == F.col("_p"), F.col("_x")).otherwise(F.col("_x") + (F.col("_x2") - F.col("_x")) * (F.col("_at") - F.col("_p")) / (F.col("_p2") - F.col("_p")))
-        sums = filled.withColumn("_y", y).groupBy("_at").agg(F.sum("_y").alias("s"), F.count("*").alias("c"))
+        alone = F.col("_m") == 1
+        first = F.when(alone, 0).otherwise(F.ceil("_p")).cast("long")
+        last = F.when(alone, n - 1).when(F.col("_p2").isNull(), F.floor("_p")).otherwise(F.ceil("_p2") - 1).cast("long")
+        filled = pieces.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").withColumn("_at", F.explode(F.sequence("_first", "_last")))
+        y = F.when(alone | (F.col("_at") == F.col("_p")), F.col("_x")).otherwise(F.col("_x") + (F.col("_x2") - F.col("_x")) * (F.col("_at") - F.col("_p")) / (F.col("_p2") - F.col("_p")))
+        sums = filled.withColumn("_y", y).where(~F.isnan("_y") & (F.abs("_y") < float("inf"))).groupBy("_at").agg(F.sum("_y").alias("s"), F.count("*").alias("c"))
 
         def smooth(t: pa.Table) -> pa.Table:
             total, count = np.zeros(n), np.zeros(n)
@@ -140,4 +144,4 @@ def quantile_normalize(df: DataFrame, col: str, row: str, value: str, infinities
     lo, hi = target.select(F.col("_at").cast("long").alias("_lo"), F.col("_t").alias("_tl")), target.select(F.col("_at").cast("long").alias("_hi"), F.col("_t").alias("_th"))
     f = F.col("_b") - F.col("_lo")
     mapped = spots.join(lo, "_lo").join(hi, "_hi").select(col, row, (F.when(f == 0.5, (F.col("_tl") + F.col("_th")) / 2).otherwise(F.col("_tl") + f * (F.col("_th") - F.col("_tl")))).alias("_new"))
-    return df.join(mapped, [col, row], "left").select(col, row, F.when(seen, F.col("_new")).otherwise(x).alias(value))
+    return df.join(mapped, [col, row], "left").select(col, row, F.when(seen & (F.abs(x) < float("inf")), F.col("_new")).otherwise(x).alias(value))

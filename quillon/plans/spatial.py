@@ -58,24 +58,64 @@ def _domain():
     return G.Domain.from_volume(DIMS, 6)
 
 
-for _name in ("exact", "nilearn", "smith_nichols", "mne"):
-    query(f"tfce_{_name}")(lambda spark, sf_dir, p=_name: T.tfce(_maps(spark, sf_dir), _domain(), p, T.Tail.TWO_SIDED))
+def _enhanced_sql(bands: str) -> str:
+    """SQL of an enhancement of the maps: bands is a query of (map_id, side, k, h, w) on maps m; a node belongs to a band where side x stat is above h."""
+    return f"""
+    WITH RECURSIVE cells AS (SELECT {_CELL} AS lin, l_returnflag AS flag, avg(l_extendedprice / l_quantity / 1000) AS value FROM lineitem GROUP BY ALL),
+    m AS (
+      SELECT f.map_id, g.node, round(coalesce(c.value, 1.0) * 4 - 4, 6) AS stat
+      FROM (VALUES (0, 'A'), (1, 'N'), (2, 'R')) f(map_id, flag) CROSS JOIN (SELECT unnest(range(0, {DIMS[0] * DIMS[1] * DIMS[2]})) AS node) g
+      LEFT JOIN cells c ON c.flag = f.flag AND c.lin = g.node),
+    bands AS ({bands}),
+    inside AS (SELECT m.map_id, b.side, b.k, b.w, m.node FROM m JOIN bands b ON m.map_id = b.map_id AND b.side * m.stat > b.h),
+    steps AS (
+      SELECT i.map_id, i.side, i.k, i.node AS src, j.node AS dst FROM inside i JOIN inside j ON i.map_id = j.map_id AND i.side = j.side AND i.k = j.k
+      AND (j.node IN (i.node - {DIMS[1] * DIMS[2]}, i.node + {DIMS[1] * DIMS[2]})
+        OR j.node IN (i.node - {DIMS[2]}, i.node + {DIMS[2]}) AND j.node // {DIMS[1] * DIMS[2]} = i.node // {DIMS[1] * DIMS[2]}
+        OR j.node IN (i.node - 1, i.node + 1) AND j.node // {DIMS[2]} = i.node // {DIMS[2]})),
+    reached(map_id, side, k, src, dst) AS (
+      SELECT map_id, side, k, node, node FROM inside
+      UNION SELECT r.map_id, r.side, r.k, r.src, s.dst FROM reached r JOIN steps s ON r.map_id = s.map_id AND r.side = s.side AND r.k = s.k AND r.dst = s.src),
+    sizes AS (SELECT map_id, side, k, src AS node, count(*) AS size FROM reached GROUP BY ALL),
+    summed AS (SELECT map_id, node, sum(i.side * sqrt(size) * w) AS t FROM sizes JOIN inside i USING (map_id, side, k, node) GROUP BY ALL)
+    SELECT m.map_id::BIGINT AS map_id, m.node::BIGINT AS node, round(coalesce(t, 0.0), 6) + 0.0 AS tfce FROM m LEFT JOIN summed USING (map_id, node)"""
+
+
+def _grid_sql(start: float, step: float, weight: str) -> str:
+    return f"""
+      SELECT map_id, side, k, {start} + k * {step} AS h, {weight} AS w
+      FROM (SELECT map_id, max(abs(stat)) AS top FROM m GROUP BY map_id), (VALUES (1), (-1)) s(side), (SELECT unnest(range(0, 1000)) AS k) WHERE {start} + k * {step} < top"""
+
+
+def _rounded(df):
+    return df.select("map_id", "node", (F.round("tfce", 6) + 0.0).alias("tfce"))
+
+
+_SETTINGS = {
+    "exact": ("exact", None), "nilearn": ("nilearn", None),
+    "smith_nichols": ({"weighting": "smith_nichols", "start": 0.25, "step": 0.25}, _enhanced_sql(_grid_sql(0.25, 0.25, "pow(0.25 + k * 0.25, 2) * 0.25"))),
+    "fslmaths": ({"weighting": "fslmaths", "start": 0.25, "step": 0.25}, _enhanced_sql(_grid_sql(0.25, 0.25, "pow(0.25 + k * 0.25, 2)"))),
+    "mne": ({"weighting": "mne", "start": 0.5, "step": 0.25}, _enhanced_sql(_grid_sql(0.5, 0.25, "CASE WHEN k = 0 THEN 0.25 ELSE 0.0625 END"))),
+}
+for _name, (_params, _sql) in _SETTINGS.items():
+    query(f"tfce_{_name}", _sql)(lambda spark, sf_dir, p=_params: _rounded(T.tfce(_maps(spark, sf_dir), _domain(), p, T.Tail.TWO_SIDED)))
 
 
 _H, _W = [0.2, 0.6, 1.1, 1.7], [0.5, 1.0, 0.25, 2.0]
+_BANDS_SQL = _enhanced_sql(f"SELECT map_id, 1 AS side, k, h, w FROM (SELECT DISTINCT map_id FROM m), (VALUES {', '.join(f'({k}, {h}, {w})' for k, (h, w) in enumerate(zip(_H, _W, strict=True)))}) b(k, h, w)")
 
 
-@query("tfce_bands")
+@query("tfce_bands", _BANDS_SQL)
 def tfce_bands(spark, sf_dir):
-    return T.tfce_bands(_maps(spark, sf_dir), _domain(), _H, _W, 0.5)
+    return _rounded(T.tfce_bands(_maps(spark, sf_dir), _domain(), _H, _W, 0.5))
 
 
-@query("tfce_bands_naive")
+@query("tfce_bands_naive", _BANDS_SQL)
 def tfce_bands_naive(spark, sf_dir):
     """By DataFrame joins alone."""
     shared_dir(spark)
     edges = G.edge_table(G.node_table(spark, DIMS), DIMS, 6)
-    return T.tfce_naive(_maps(spark, sf_dir), edges, _H, _W, 0.5)
+    return _rounded(T.tfce_naive(_maps(spark, sf_dir), edges, _H, _W, 0.5))
 
 
 def _subjects(spark, sf_dir, n: int = 12):

@@ -67,13 +67,17 @@ def pit_and_map(spark, sf_dir):
 
 
 @query("quantile_normalize", """
-    WITH m AS (SELECT l_linenumber AS c, l_suppkey AS r, max(l_extendedprice) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
-    full_rows AS (SELECT r FROM m GROUP BY r HAVING count(*) = 3), f AS (SELECT * FROM m WHERE r IN (SELECT r FROM full_rows)),
-    i AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY v, r) - 1 AS i, rank() OVER (PARTITION BY c ORDER BY v) - 1 + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0 AS k FROM f),
-    t AS (SELECT i, avg(v) AS t FROM i GROUP BY i)
-    SELECT c::INT AS c, r, round((lo.t + hi.t) / 2, 3) AS v FROM i JOIN t lo ON lo.i = floor(k) JOIN t hi ON hi.i = ceil(k)""")
+    WITH m AS (SELECT l_linenumber AS c, l_suppkey AS r, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+    n AS (SELECT count(DISTINCT r) AS n FROM m),
+    s AS (SELECT c, list(v ORDER BY v) AS vs, count(*) AS m FROM m GROUP BY c),
+    p AS (SELECT c, vs, i, (m - 1) * i / (n - 1)::DOUBLE AS p FROM s, n, unnest(range(0, n)) AS t(i)),
+    t AS (SELECT list(x ORDER BY i) AS t FROM (
+      SELECT i, avg(vs[floor(p)::INT + 1] + (vs[ceil(p)::INT + 1] - vs[floor(p)::INT + 1]) * (p - floor(p))) AS x FROM p GROUP BY i)),
+    k AS (SELECT c, r, rank() OVER (PARTITION BY c ORDER BY v) - 1 + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY c) AS m FROM m),
+    b AS (SELECT c, r, CASE WHEN m = 1 THEN (n - 1) / 2.0 ELSE k * (n - 1) / (m - 1)::DOUBLE END AS b FROM k, n)
+    SELECT c::INT AS c, r, round(t[floor(b)::INT + 1] + (t[ceil(b)::INT + 1] - t[floor(b)::INT + 1]) * (b - floor(b)), 3) AS v FROM b, t""")
 def quantile_normalize(spark, sf_dir):
-    """All columns (line numbers) and all suppliers, those with missing columns too; the SQL covers the complete rows of three columns."""
+    """All columns (line numbers) and all suppliers, those with missing columns too."""
     m = lineitem(spark, sf_dir).groupBy(F.col("l_linenumber").alias("c"), F.col("l_suppkey").alias("r")).agg(F.max("l_extendedprice").alias("v"))
     return rounded(T.quantile_normalize(m, "c", "r", "v"), 3)
 

@@ -120,6 +120,72 @@ def test_quantile_normalize(spark):
     assert back[1, 3] is None and sum(v is not None for v in back.values()) == 11
 
 
+def normalised(m, extremes=False):
+    """Quantile normalisation of columns [col, row], written from its definition: places, means of finite contributions, pooled to rise, mid-ranks."""
+    n = m.shape[1]
+    seen = ~np.isnan(m) if extremes else np.isfinite(m)
+    contributions = [[] for _ in range(n)]
+    for c in range(len(m)):
+        v = np.sort(m[c, seen[c]])
+        for i in range(n if len(v) else 0):
+            t = (len(v) - 1) * i / (n - 1)
+            lo, hi = int(math.floor(t)), int(math.ceil(t))
+            x = v[lo] if lo == hi else v[lo] + (v[hi] - v[lo]) * (t - lo)
+            if math.isfinite(x):
+                contributions[i].append(x)
+    have = [i for i in range(n) if contributions[i]]
+    pools = []
+    for i in have:
+        pools.append([sum(contributions[i]), len(contributions[i]), 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
+            top = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], top, strict=True)]
+    target = np.interp(range(n), have, [p[0] / p[1] for p in pools for _ in range(p[2])])
+    out = m.copy()
+    for c in range(len(m)):
+        rows = np.flatnonzero(seen[c])
+        for r in rows[np.isfinite(m[c, rows])]:
+            k = (m[c, rows] < m[c, r]).sum() + ((m[c, rows] == m[c, r]).sum() - 1) / 2
+            out[c, r] = np.interp((n - 1) / 2 if len(rows) == 1 else (n - 1) * k / (len(rows) - 1), range(n), target)
+    return out
+
+
+def test_quantile_normalize_with_missing_entries(spark):
+    """One value in a column counts at every place; infinities as extremes stay where they are; pooled targets."""
+    nan, inf = math.nan, math.inf
+    cases = [
+        (np.array([[1.0, 7, 3, 5], [nan, 4, nan, nan], [2, nan, 8, 6]]), False), (np.array([[nan, 2.0, nan], [nan, nan, nan], [3.0, nan, 1.0]]), False),
+        (np.array([[2.0, -inf, 3], [0, 5, 7]]), True), (np.array([[inf, -inf, 3, 9], [0, 5, 7, nan], [inf, inf, 1, 2]]), True), (np.array([[inf, -inf, 3, 9], [0, 5, 7, nan]]), False),
+    ]
+    for m, extremes in cases:
+        df = spark.createDataFrame([(c, r, float(m[c, r])) for c in range(m.shape[0]) for r in range(m.shape[1])], "c int, r int, v double")
+        got = np.full(m.shape, nan)
+        for x in X.quantile_normalize(df, "c", "r", "v", X.Infinities.AS_EXTREMES if extremes else X.Infinities.AS_MISSING).collect():
+            got[x.c, x.r] = nan if x.v is None else x.v
+        np.testing.assert_allclose(got, normalised(m, extremes), rtol=1e-12)
+    np.testing.assert_array_equal(normalised(cases[2][0], True), [[3.5, -inf, 5.0], [0.0, 3.5, 5.0]])
+
+
+def test_f_test_of_constant_samples(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, x double")
+    r = H.f_test_var(df, "x", "g", "a", "b").first()
+    assert math.isnan(r.statistic) and math.isnan(r.p_value)
+
+
+def test_settings():
+    fsl = T.resolve_params({"weighting": "fslmaths", "start": 0.2, "step": 0.3})
+    h, w = T.grid(fsl, 1.0)
+    np.testing.assert_allclose(w, h**2)
+    assert T.resolve_params({"weighting": "exact", "h": 1}).start == 0 and T.resolve_params("nilearn").weighting is T.Weighting.NILEARN
+    wrong = ["mne", {"e": 1}, {"weighting": "exact", "step": 1}, {"weighting": "nilearn", "start": 0}, {"weighting": "mne", "start": 0.1}, {"weighting": "smith_nichols", "start": -1, "step": 1}]
+    wrong += [{"weighting": "mne", "start": 0, "step": 0}, {"weighting": "exact", "h": -1}, {"weighting": "exact", "e": "x"}, {"weighting": "exact", "e": math.inf}, {"weighting": "other"}, 3]
+    for p in wrong:
+        with pytest.raises(T.InvalidParams):
+            T.resolve_params(p)
+    with pytest.raises(T.InvalidParams):
+        P.tfce_ols(np.zeros((4, 1)), G.Domain.from_volume((1, 1, 1), 6), params={"weighting": "fslmaths", "start": 0.1, "step": 0.1})
+
+
 def test_transform_queries_cover_all_rows(spark, tmp_path):
     """Against brute force: missing entries and all columns, the tails of events, and digamma(1)."""
     from quillon.plans import transforms
@@ -200,10 +266,11 @@ def test_enhancement_against_reclustering(conn):
     for ties in (False, True):
         s = rng.normal(size=d.n)
         s = np.round(s * 2) / 2 if ties else s
-        for w in (T.Weighting.SMITH_NICHOLS, T.Weighting.MNE_STEP, T.Weighting.NILEARN):
+        for w in (T.Weighting.SMITH_NICHOLS, T.Weighting.MNE_STEP, T.Weighting.NILEARN, T.Weighting.FSLMATHS):
             p = T.TfceParams(w, start=0.1, step=0.3)
             h, g = T.grid(p, float(s.max()))
-            np.testing.assert_allclose(T.tfce_map(d, s, p), naive(d, s, h, g, 0.5, w is not T.Weighting.NILEARN), rtol=1e-12, atol=1e-12)
+            want = naive(d, s, h, g, 0.5, w is not T.Weighting.NILEARN)
+            np.testing.assert_allclose(T.tfce_map(d, s, p), want, rtol=1e-12, atol=1e-12)
         fine = T.tfce_map(d, s, T.TfceParams(T.Weighting.SMITH_NICHOLS, start=0.0005, step=0.001))
         np.testing.assert_allclose(T.tfce_map(d, s, T.PRESETS["exact"]), fine, rtol=2e-2, atol=2e-2)
     two = T.tfce_map(d, s, T.PRESETS["exact"], T.Tail.TWO_SIDED)

@@ -2,7 +2,7 @@
 
 A line is compared as its lower-case characters with white space run together, by the set of its shingles of SHINGLE characters. One hash for each shingle is
 dealt into BANDS x ROWS bins, the least of a bin is its value, and empty bins take over the next filled one. Lines of Jaccard similarity REACH
-share a band with probability 0.987. Bands are packed and counted by shard, so only buckets with two different lines become rows.
+share a band with probability 0.99. Bands are packed and counted by shard, so only buckets with two different lines become rows.
 Candidates are verified on the exact shingle sets and classes are complete (see links). Of all lines of a component, over all documents,
 the one at the least position (document id, text hash, line number) stays; all others go.
 
@@ -25,9 +25,9 @@ from quillon.llm import hashing, links
 from quillon.llm.common import dealt_join, stored
 
 U = np.uint64
-SHINGLE = 5
-REACH = 0.75
-BANDS, ROWS = 16, 5
+SHINGLE = 8
+REACH = 0.8
+BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 #: Pairs (band key, line) that a task holds before it sends them.
 FLUSH = 6_000_000

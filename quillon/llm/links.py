@@ -5,7 +5,7 @@
 2. Verified links are joined to components by alternating large-star and small-star steps on edge tables.
 3. Links may be lacking only between a bucket's minority, the members outside its largest component, and others. While that is much work, the minority elects another
    leader, which is compared with all members that it isn't joined to yet: again as many comparisons as members.
-4. What is left is compared in blocks of BLOCK items, minority blocks with all blocks that the distances don't rule out: Jaccard distances obey
+4. What is left is compared: small buckets whole, many in a group; larger ones in blocks of BLOCK items, minority blocks with all blocks that the distances don't rule out: Jaccard distances obey
    the triangle inequality, so of two items within distance t the distances to the leader differ by t at most. A block holds items of one range of
    distances. Each two blocks are one small group, in which all overlaps come from matrix products; one link for two components is enough.
 
@@ -28,6 +28,8 @@ from quillon.llm.common import dealt_join, stored
 SALT_ROWS = 2000
 #: Items of a block, and features that are multiplied at once.
 BLOCK, COLUMNS = 256, 16_384
+#: Buckets of so many members are compared whole, about PACK items in a group; so many pairs are compared one by one.
+SMALL, PACK, FEW = 64, 128, 4
 #: Another leader is elected while the blocks would copy more bodies than this many times the members, and at most ROUNDS times.
 SPREAD, ROUNDS = 4, 6
 
@@ -64,42 +66,73 @@ def overlaps(row: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int) ->
     out = np.zeros((n, n), np.float32)
     for lo in range(0, int(at.max(initial=-1)) + 1, COLUMNS):
         a, b = np.searchsorted(at, (lo, lo + COLUMNS))
-        m = np.zeros((n, COLUMNS), np.float32)
+        m = np.zeros((n, min(COLUMNS, int(at.max()) + 1 - lo)), np.float32)
         m[row[a:b], at[a:b] - lo] = root[a:b]
         out += m @ m.T
     return out
 
 
+def _lacking(ids, roots, wanted, row, keys, w, reach: float) -> list[tuple[int, int]]:
+    """Of items with features (row, hash, weight) and a matrix of pairs to look at: linked pairs, one for each two roots."""
+    n = len(ids)
+    total = np.bincount(row, w, n)
+    cut = np.searchsorted(row, np.arange(n + 1))
+    x, y = np.nonzero(wanted)
+    if len(x) > FEW:
+        over = overlaps(row, keys, w, n)
+        most = (over / np.maximum(total[:, None] + total[None, :] - over, 1e-300))[x, y]
+        order = np.argsort(-most, kind="stable")[: int((most >= reach - 1e-4).sum())]
+        x, y = x[order], y[order]
+    joined, out = set(), []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        pair = (min(roots[a], roots[b]), max(roots[a], roots[b]))
+        if pair in joined:
+            continue
+        p, q = slice(cut[a], cut[a + 1]), slice(cut[b], cut[b + 1])
+        _, u, v = np.intersect1d(keys[p], keys[q], assume_unique=True, return_indices=True)
+        common = np.minimum(w[p][u], w[q][v]).sum()
+        if common / max(total[a] + total[b] - common, 1e-300) >= reach:
+            joined.add(pair)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _apart(roots: np.ndarray, far: np.ndarray, within: float) -> np.ndarray:
+    """Pairs of different roots that the distances to the leader don't rule out."""
+    return (roots[:, None] != roots[None, :]) & (np.abs(far[:, None] - far[None, :]) <= within + 1e-9)
+
+
 def _within(features, reach: float):
     """Of two blocks of a bucket (id, root, distance, side, body), side 0 and 1, or 2 for a block with itself: links between components that aren't joined yet."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, roots, far, side = (t.column(c).to_numpy() for c in ("id", "root", "distance", "side"))
-        n = len(ids)
-        wanted = (roots[:, None] != roots[None, :]) & (np.abs(far[:, None] - far[None, :]) <= 1 - reach + 1e-9)
-        wanted &= np.triu(np.ones((n, n), bool), 1) if (side == 2).any() else (side == 0)[:, None] & (side == 1)[None, :]
-        out_a, out_b = [], []
-        if wanted.any():
-            row, keys, w = features(t.column("body").combine_chunks())
-            total = np.bincount(row, w, n)
-            over = overlaps(row, keys, w, n)
-            most = over / np.maximum(total[:, None] + total[None, :] - over, 1e-300)
-            cut = np.searchsorted(row, np.arange(n + 1))
-            joined = set()
-            x, y = np.nonzero(wanted & (most >= reach - 1e-4))
-            for k in np.argsort(-most[x, y], kind="stable").tolist():
-                a, b = int(x[k]), int(y[k])
-                pair = (min(roots[a], roots[b]), max(roots[a], roots[b]))
-                if pair in joined:
-                    continue
-                p, q = slice(cut[a], cut[a + 1]), slice(cut[b], cut[b + 1])
-                _, u, v = np.intersect1d(keys[p], keys[q], assume_unique=True, return_indices=True)
-                common = np.minimum(w[p][u], w[q][v]).sum()
-                if common / max(total[a] + total[b] - common, 1e-300) >= reach:
-                    joined.add(pair)
-                    out_a.append(ids[a])
-                    out_b.append(ids[b])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        wanted = _apart(roots, far, 1 - reach)
+        wanted &= np.triu(np.ones_like(wanted), 1) if (side == 2).any() else (side == 0)[:, None] & (side == 1)[None, :]
+        return _edges(_lacking(ids, roots, wanted, *features(t.column("body").combine_chunks()), reach) if wanted.any() else [])
+
+    return run
+
+
+def _packed(features, reach: float):
+    """The same for many whole, small buckets (bucket, id, root, distance, body)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        bucket, ids, roots, far = (t.column(c).to_numpy() for c in ("bucket", "id", "root", "distance"))
+        row, keys, w = features(t.column("body").combine_chunks())
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
+        found = []
+        for lo, hi in zip(first, [*first[1:], len(bucket)], strict=True):
+            wanted = np.triu(_apart(roots[lo:hi], far[lo:hi], 1 - reach), 1)
+            if wanted.any():
+                a, b = np.searchsorted(row, (lo, hi))
+                found += _lacking(ids[lo:hi], roots[lo:hi], wanted, row[a:b] - lo, keys[a:b], w[a:b], reach)
+        return _edges(found)
 
     return run
 
@@ -146,12 +179,14 @@ def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, re
             return roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
         cell = F.floor(F.col("distance") / within).cast("int")
         parted = stored(dealt_join(placed, main, ["bucket"], "n").select("bucket", "id", "distance", "root", "n", (F.col("root") != F.col("main")).alias("minor"), cell.alias("cell")))
-        counts = stored(parted.groupBy("bucket", "minor", "cell").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")))
-        small = counts.where("minor").select("bucket", F.col("cell").alias("cell_i"), F.col("k").alias("k_i"), F.col("blocks").alias("blocks_i"))
-        other = counts.select("bucket", F.col("minor").alias("minor_j"), F.col("cell").alias("cell_j"), F.col("k").alias("k_j"), F.col("blocks").alias("blocks_j"))
+        counts = stored(parted.groupBy("bucket", "minor", "cell").agg(F.count("*").alias("k"), F.max("n").alias("n")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")))
+        large = counts.where(F.col("n") > SMALL)
+        small = large.where("minor").select("bucket", F.col("cell").alias("cell_i"), F.col("k").alias("k_i"), F.col("blocks").alias("blocks_i"))
+        other = large.select("bucket", F.col("minor").alias("minor_j"), F.col("cell").alias("cell_j"), F.col("k").alias("k_j"), F.col("blocks").alias("blocks_j"))
         both = small.join(other, "bucket").where("abs(cell_i - cell_j) <= 1 AND (NOT minor_j OR cell_j >= cell_i)")
-        work, rows = both.agg(F.sum(F.col("k_i") * F.col("blocks_j") + F.col("k_j") * F.col("blocks_i"))).first()[0], counts.agg(F.sum("k")).first()[0]
-        if not left or (work or 0) <= SPREAD * rows:
+        work = both.agg(F.sum(F.col("k_i") * F.col("blocks_j") + F.col("k_j") * F.col("blocks_i"))).first()[0] or 0
+        rows, few = counts.agg(F.sum("k"), F.sum(F.when(F.col("n") <= SMALL, F.col("k")).otherwise(0))).first()
+        if not left or work <= SPREAD * rows:
             break
         elected = sizes.join(main.select("bucket", "main"), "bucket").where("root <> main").groupBy("bucket").agg(F.max_by(F.struct("first", "root"), F.struct("k", "root")).alias("e"))
         elected = stored(elected.select("bucket", F.col("e.first.id").alias("leader"), F.col("e.first.distance").alias("at"), F.col("e.root").alias("own")).join(main.select("bucket", "n"), "bucket"))
@@ -159,14 +194,18 @@ def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, re
         again = _checked(rest.select(F.col("leader").alias("a"), F.col("id").alias("b"), "n"), bodies, verify).where(F.col("similarity") >= reach)
         roots = _rooted(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(again.select("a", "b")))
 
+    joined = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    whole = parted.where(F.col("n") <= SMALL).select("bucket", "id", "root", "distance", F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-few // PACK)))).alias("pack"))
+    found = joined.unionByName(whole.join(bodies.select("id", "body"), "id").groupBy("pack").applyInArrow(_packed(features, reach), "a long, b long"))
+    if not work:
+        return stored(found)
     pairs = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_i") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_j") - 1)))
     self_ = F.col("minor_j") & (F.col("cell_i") == F.col("cell_j"))
     group = ["bucket", "cell_i", "i", "minor_j", "cell_j", "j"]
     pairs = pairs.where(~self_ | (F.col("j") >= F.col("i"))).withColumn("alone", self_ & (F.col("i") == F.col("j"))).select(*group, "alone")
     one = pairs.select(*group, F.lit(True).alias("minor"), F.col("cell_i").alias("cell"), F.col("i").alias("block"), F.when(F.col("alone"), 2).otherwise(0).alias("side"))
     two = pairs.where("NOT alone").select(*group, F.col("minor_j").alias("minor"), F.col("cell_j").alias("cell"), F.col("j").alias("block"), F.lit(1).alias("side"))
-    blocks = counts.select("bucket", "minor", "cell", "blocks", "k")
+    blocks = large.select("bucket", "minor", "cell", "blocks", "k")
     items = dealt_join(parted.drop("n"), stored(blocks), ["bucket", "minor", "cell"], "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = one.unionByName(two).join(items, ["bucket", "minor", "cell", "block"]).select(*group, "side", "id", "root", "distance").join(bodies.select("id", "body"), "id")
-    found = dealt.groupBy(*group).applyInArrow(_within(features, reach), "a long, b long")
-    return stored(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(found))
+    return stored(found.unionByName(dealt.groupBy(*group).applyInArrow(_within(features, reach), "a long, b long")))

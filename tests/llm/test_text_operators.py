@@ -483,8 +483,8 @@ def test_links_between_members_of_a_bucket_that_miss_the_leader(spark, monkeypat
             x, y = ([set(t.split(",")) for t in b.column(i).to_pylist()] for i in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p & q) / len(p | q) for p, q in zip(x, y, strict=True)], pa.float64())], ["a", "b", "similarity"])
 
-    for block, rounds, spread, salt_rows in ((7, 0, 4, 3), (7, 3, 0, 2000)):
-        for name, value in (("BLOCK", block), ("ROUNDS", rounds), ("SPREAD", spread), ("SALT_ROWS", salt_rows)):
+    for block, rounds, spread, salt_rows, small in ((7, 0, 4, 3, 1), (7, 3, 0, 2000, 1), (256, 6, 4, 2000, 64)):
+        for name, value in (("BLOCK", block), ("ROUNDS", rounds), ("SPREAD", spread), ("SALT_ROWS", salt_rows), ("SMALL", small)):
             monkeypatch.setattr(links, name, value)
         got = {r.id: r.root for r in links.components(links.linked(members, bodies, verify, features, 0.8)).collect()}
         assert got == {i: 1 for i in range(1, 40)}

@@ -25,6 +25,7 @@ from quillon.llm import hashing, links
 from quillon.llm.common import dealt_join, stored
 
 U = np.uint64
+#: Characters of a shingle, a power of two.
 SHINGLE = 8
 REACH = 0.8
 BANDS, ROWS = 12, 5
@@ -37,12 +38,16 @@ SEEN = 2_000_000
 #: Rows that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Characters that are hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def normal(line: str) -> str:
     """The form in which lines are compared."""
-    return " ".join(line.lower().split())
+    low = line.lower()
+    # no white space but single spaces inside: nothing to run together (a printable character is no white space, but for the space)
+    if "  " not in low and low.isprintable() and low[:1] != " " and low[-1:] != " ":
+        return low
+    return " ".join(low.split())
 
 
 def name(line: str) -> bytes:
@@ -53,13 +58,18 @@ def name(line: str) -> bytes:
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of all shingles of some normal lines; a shorter line is one shingle."""
     size = np.array([len(x) for x in lines], np.int64)
-    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    first = np.cumsum(size) - size
-    count = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
+    gap = SHINGLE - 1
+    text = np.frombuffer(("\0" * gap).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) + U(1)
+    after = np.cumsum(size + gap) - gap
+    text[(after[:, None] + np.arange(gap)).ravel()] = 0  # a line that is shorter than a shingle is filled with zeros
+    # windows of 1, 2, 4 .. symbols make those of SHINGLE
+    h, step = text, 1
+    while step < SHINGLE:
+        h, step = h[:-step] * U(pow(int(hashing.BASE), step, 1 << 64)) + h[step:], 2 * step
+    count = np.where(size > 0, np.maximum(size - gap, 1), 0)
     row = np.repeat(np.arange(len(lines)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    end = np.minimum(start + SHINGLE, (first + size)[row])
-    return row, hashing.mix(hashing.spans(text + np.uint32(1), start, end))
+    start = np.arange(count.sum()) + np.repeat(after - size - (np.cumsum(count) - count), count)
+    return row, hashing.mix(h[start])
 
 
 def bands(lines: list[str]) -> np.ndarray:
@@ -111,8 +121,7 @@ def _marker(shard_bits: int):
 
         for b in batches:
             ids, docs, lines = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
                 names = []
@@ -233,15 +242,15 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
     places = marked.where("shard IS NULL").select("id", "doc", F.posexplode("lines").alias("at", "name")).where("name IS NOT NULL")
     number = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")
     place = F.struct("id", "doc", "at")
-    firsts = places.groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("n")).withColumn("number", number)
-    many = stored(firsts.join(_small(roots)(roots.withColumnRenamed("id", "number")), "number", "left").where("n > 1 OR root IS NOT NULL"))
+    counts = places.groupBy("name").agg(F.count("*").alias("n")).withColumn("number", number)
+    many = counts.join(_small(roots)(roots.withColumnRenamed("id", "number")), "number", "left").where("n > 1 OR root IS NOT NULL")
     # a line outside all components is its own
     own = F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("root").cast("string").cast("binary"))
-    many = many.withColumn("own", own)
-    stays = many.groupBy("own").agg(F.min("place").alias("stays"), F.count("*").alias("names"))
-    judged = stored(dealt_join(many, stored(stays), ["own"], "names").select("name", "stays", "n"))
-    found = dealt_join(places, judged, ["name"], "n").drop("n")
-    gone = found.where(F.struct("id", "doc", "at") != F.col("stays"))
+    many = stored(many.select("name", "n", own.alias("own")))
+    # only places of lines that repeat or are linked go on
+    found = stored(dealt_join(places, many, ["name"], "n").select("id", "doc", "at", "own"))
+    stays = stored(found.groupBy("own").agg(F.min(place).alias("stays"), F.count("*").alias("n")))
+    gone = dealt_join(found, stays, ["own"], "n").where(place != F.col("stays"))
     return stored(gone.groupBy(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.sort_array(F.collect_set("at")).alias("_line_gone")))
 
 
@@ -255,5 +264,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", reach:
     names = [c for c in docs.columns if c != text]
     new = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(kept).alias(text)
     out = [new if c == text else F.col(c) for c in docs.columns] if text in docs.columns else [*names, new]
-    more = [F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("n_dropped")]
+    breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    more = [F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*out, *(more if counts else []))

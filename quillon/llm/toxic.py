@@ -8,7 +8,7 @@ sum p(s) exp(lambda s) = 1 over the scores of non-toxic text and K is fitted to
 curve over -ln E of the best segment and the sum over significant segments gives the probability of the label.
 
 Bounds: the scores are learned from at most PER_CLASS labelled rows of each label, drawn by the hash of the id, and the curve from as many
-others; all their words are kept. Scoring is one map over the texts, without a shuffle.
+others; all their words are kept. The words are counted and rated in Spark; the driver and the tasks hold 16 bytes a word. Scoring is one map over the texts, without a shuffle.
 
 Defined results: a null or empty text has no segment and gets the curve's value for that; without labelled rows of both classes every score
 is 1 / (1 + exp(30)), next to 0; several labels of one id count as toxic if one is; repeated rows give repeated results; an empty table gives no rows; only the id
@@ -20,13 +20,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample
+from quillon.llm.common import Scratch, bounded_sample, stored
 
 PER_CLASS = 4000
 STRENGTH = 5.0
@@ -90,42 +92,76 @@ def karlin(values: np.ndarray, weights: np.ndarray) -> float:
     return hi
 
 
-def scores_of(toxic: Counter, other: Counter) -> dict[str, float]:
-    """Scores of words, and of beginnings (with * at the end): log-odds less DRIFT. Takes numbers of texts."""
-    n1, n0 = sum(toxic.values()), sum(other.values())
-    base = n1 / (n1 + n0)
-    rates: dict[str, float] = {"": base}
-    counts: dict[str, list[int]] = {}
-    for label, found in ((0, toxic), (1, other)):
-        for w, n in found.items():
-            for level in LEVELS:
-                if len(w) >= level:
-                    counts.setdefault(f"{w[:level]}*", [0, 0])[label] += n
-            counts.setdefault(w, [0, 0])[label] += n
-    for key in sorted(counts, key=lambda k: (not k.endswith("*"), len(k), k)):
-        a, b = counts[key]
-        stem = key[:-1] if key.endswith("*") else key + "?"
-        parent = next((rates[f"{stem[:x]}*"] for x in reversed(LEVELS) if x < len(stem)), base) if len(stem) > LEVELS[0] else base
-        rates[key] = (a + STRENGTH * parent) / (a + b + STRENGTH)
-    return {k: math.log(r / (1 - r)) - math.log(base / (1 - base)) - DRIFT for k, r in rates.items() if k}
+def rates(counts: DataFrame, base: float) -> DataFrame:
+    """Rows (key, rate, other): the hash and rate of every word, and of beginnings (with * at the end). other: non-toxic texts with the word, 0 for beginnings.
+
+    Takes words with their numbers of texts (word, toxic, other). LEVELS are consecutive, so the first characters of a word, or of a
+    beginning, up to the last level below it name its parent.
+    """
+    rate = lambda parent: (F.col("toxic") + F.lit(STRENGTH) * parent) / (F.col("toxic") + F.col("other") + F.lit(STRENGTH))
+    begins = None
+    for n in LEVELS:
+        own = counts.where(F.length("word") >= n).groupBy(F.substring("word", 1, n).alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        if begins is None:
+            begins = above = own.select("stem", rate(F.lit(base)).alias("rate"))
+        else:
+            up = above.select(F.col("stem").alias("up"), F.col("rate").alias("parent"))
+            above = own.join(up, F.substring("stem", 1, n - 1) == F.col("up")).select("stem", rate(F.col("parent")).alias("rate"))
+            begins = begins.union(above)
+    up = begins.select(F.col("stem").alias("up"), F.col("rate").alias("parent"))
+    each = counts.join(up, F.substring("word", 1, LEVELS[-1]) == F.col("up"), "left")
+    return each.select(F.xxhash64("word").alias("key"), rate(F.coalesce("parent", F.lit(base))).alias("rate"), "other").union(
+        begins.select(F.xxhash64(F.concat("stem", F.lit("*"))), "rate", F.lit(0).cast("long"))
+    )
+
+
+class Odds:
+    """Scores of words and beginnings by the hash of the key, in order: 16 bytes a key."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.scores = keys[order], scores[order]
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        """The scores of keys, NaN where unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        h = np.fromiter((xxhash.xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.scores[at], np.nan)
+
+    def get(self, key: str, default: float | None = None) -> float | None:
+        """The score of one key."""
+        s = float(self.of([key])[0])
+        return default if math.isnan(s) else s
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __getitem__(self, key: str) -> float:
+        s = self.get(key)
+        if s is None:
+            raise KeyError(key)
+        return s
 
 
 class Model:
     """Word scores and the calibration; a plain object that is sent to the executors."""
 
-    def __init__(self, odds: dict[str, float]) -> None:
+    def __init__(self, odds: Odds) -> None:
         self.odds, self.rate, self.k, self.curve = odds, 1.0, 1.0, np.array([-10.0, 0.0, 0.0])
         self.seen: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
 
-    def word(self, w: str) -> float:
-        """The score of a word: its own, or that of its longest known beginning."""
-        s = self.odds.get(w)
-        if s is None:
-            s = next((x for k in reversed(LEVELS) if len(w) >= k and (x := self.odds.get(f"{w[:k]}*")) is not None), -DRIFT)
-        return s
+    def look_up(self, found: list[str]) -> list[float]:
+        """The scores of words: their own, or those of their longest known beginnings."""
+        s = self.odds.of(found)
+        for level in reversed(LEVELS):
+            open_ = [i for i in np.flatnonzero(np.isnan(s)).tolist() if len(found[i]) >= level]
+            s[open_] = self.odds.of([f"{found[i][:level]}*" for i in open_])
+        return np.where(np.isnan(s), -DRIFT, s).tolist()
 
     def scored(self, text: str | None) -> np.ndarray:
         """The scores of the words of a text."""
@@ -135,8 +171,8 @@ class Model:
             if len(self.seen) > CACHE:
                 self.seen.clear()
                 got = [None] * len(found)
-            for w in {w for w, x in zip(found, got, strict=True) if x is None}:
-                self.seen[w] = self.word(w)
+            new = list({w for w, x in zip(found, got, strict=True) if x is None})
+            self.seen.update(zip(new, self.look_up(new), strict=True))
             got = list(map(self.seen.get, found))
         return np.array(got, float)
 
@@ -187,41 +223,53 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = bounded_sample(known, "label", 2 * per_class).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 4 x per_class ids
-    count = sample.where("half = 0").select("label", "text").mapInArrow(_counted, "label int, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")).toPandas()
-    pick = lambda k: Counter(dict(zip(count["word"][count["label"] == k], count["n"][count["label"] == k].tolist(), strict=True)))
-    toxic, other = pick(1), pick(0)
-    if not toxic or not other:
-        model = Model({})
+    with Scratch(docs.sparkSession):
+        return _learned(stored(sample.select("label", "half", "text")))
+
+
+def _learned(sample: DataFrame) -> Model:
+    """The model of a stored sample: label, half, text."""
+    spark = sample.sparkSession
+    each = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    found = sample.where("half = 0").select("label", "text").mapInArrow(_counted, "label int, word string, n long")
+    counts = stored(found.groupBy("word").agg(each(1).alias("toxic"), each(0).alias("other")))
+    n1, n0 = counts.agg(F.sum("toxic"), F.sum("other")).first()
+    if not n1 or not n0:
+        model = Model(Odds(np.empty(0, np.int64), np.empty(0)))
         model.curve = np.array([-30.0, 0.0, 0.0])
         return model
-    model = Model(scores_of(toxic, other))
-    background = Counter()
-    for w, n in other.items():
-        background[model.word(w)] += n
-    rate = karlin(np.array(list(background), float), np.array(list(background.values()), float))
-    model.rate = min(rate, STEEPEST)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def best(batches):
-        for b in batches:
-            rows = []
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = shared.value.scored(text)
-                rows.append((label, len(x), [s for _, _, s in segments(x)]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "s"])
-
-    rest = sample.where("half = 1").select("label", "text").mapInArrow(best, "label int, n long, s array<double>").collect()
-    clean = [(r["n"], max(r["s"], default=0.0)) for r in rest if r["label"] == 0 and r["n"]]
+    base = n1 / (n1 + n0)
+    rated = rates(counts, base).toArrow()
+    keys, rate, other = (rated.column(i).to_numpy() for i in range(3))
+    odds = np.log(rate / (1 - rate)) - math.log(base / (1 - base)) - DRIFT
+    model = Model(Odds(keys, odds))
+    values, which = np.unique(odds[other > 0], return_inverse=True)
+    model.rate = min(karlin(values, np.bincount(which, other[other > 0])), STEEPEST)
+    rest = sample.where("half = 1").select("label", "text")
+
+    def mapped(values: Callable[[Model, str | None], tuple]) -> list[tuple]:
+        """Label and two numbers of every text of the other half, in order."""
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches):
+            for b in batches:
+                rows = [values(shared.value, t.as_py()) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64())], ["label", "a", "b"])
+
+        out = sorted(tuple(r) for r in rest.mapInArrow(run, "label int, a double, b double").collect())  # at most 4 x per_class rows
+        shared.destroy()
+        return out
+
+    def best(own: Model, text: str | None) -> tuple[int, float]:
+        x = own.scored(text)
+        return len(x), max((s for *_, s in segments(x)), default=0.0)
+
+    clean = [(n, s) for label, n, s in mapped(best) if label == 0 and n]
     # K by maximum likelihood of the Gumbel law of the best score, lambda given: 1 / K = mean of n exp(-lambda S)
     model.k = 1 / max(1e-12, float(np.mean([n * math.exp(-model.rate * s) for n, s in clean]))) if clean else 1.0
-    x, y = [], []
-    for r in sorted(rest, key=lambda r: (r["label"], r["n"], r["s"])):
-        found = [model.surprise(s, r["n"]) for s in r["s"]]
-        sig = [model.rate * s for s, v in zip(r["s"], found, strict=True) if v >= -math.log(SIGNIFICANT)]
-        x.append([1.0, max(min(max(found, default=-10.0), 50.0), -10.0), math.log1p(sum(min(v, 50.0) for v in sig))])
-        y.append(r["label"])
-    if len(set(y)) == 2:
-        model.curve = _logistic(np.array(x), np.array(y, float))
+    marked = mapped(lambda own, text: own.features(text)[1][1:].tolist())
+    if len({label for label, *_ in marked}) == 2:
+        model.curve = _logistic(np.array([[1.0, *x] for _, *x in marked]), np.array([label for label, *_ in marked], float))
     return model
 
 

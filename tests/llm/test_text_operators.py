@@ -372,6 +372,27 @@ def test_toxicity_against_brute_force(spark):
         assert got[i].predicted == label, (i, got[i].score)
 
 
+def test_rates_and_odds(spark):
+    """Rates of words and beginnings, written out; keys are found by the hash that Spark gives them."""
+    counts = {"a": (1, 0), "abc": (2, 1), "abcd": (0, 3), "abcdef": (4, 0), "äöüßé": (1, 1), "日本語": (0, 2), "xyz9": (0, 1)}
+    base, s = 0.4, toxic.STRENGTH
+    rate = lambda n, parent: (n[0] + s * parent) / (n[0] + n[1] + s)
+    want = {"": base}
+    for level in (3, 4, 5):
+        for stem in {w[:level] for w in counts if len(w) >= level}:
+            n = [sum(c[i] for w, c in counts.items() if w[:level] == stem and len(w) >= level) for i in (0, 1)]
+            want[stem + "*"] = rate(n, want[stem[: level - 1] + "*"] if level > 3 else base)
+    for w, n in counts.items():
+        want[w] = rate(n, want[w[: min(len(w), 5)] + "*"] if len(w) >= 3 else base)
+    del want[""]
+    got = toxic.rates(spark.createDataFrame([(w, *n) for w, n in counts.items()], "word string, toxic long, other long"), base).toPandas()
+    odds = toxic.Odds(got["key"].to_numpy(), got["rate"].to_numpy())
+    assert len(got) == len(want) and all(odds[k] == pytest.approx(v) for k, v in want.items())
+    assert "abcx" not in odds and odds.get("abcx", 7.0) == 7.0 and not toxic.Odds(np.empty(0, np.int64), np.empty(0)).of(["a"]) > 0
+    model = toxic.Model(odds)
+    assert model.look_up(["abcd", "abcdz", "abcxy", "q"]) == pytest.approx([want["abcd"], want["abcd*"], want["abc*"], -toxic.DRIFT])
+
+
 def test_karlin():
     v, w = np.array([2.0, -1.0]), np.array([0.2, 0.8])
     rate = toxic.karlin(v, w)

@@ -118,8 +118,12 @@ def plan(light: DataFrame, target: Target) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, target: Target | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of the mixture: docs with epoch (from 0), block_order and slot."""
+#: Columns of a mixture: the epoch (from 0), and the order of blocks within it and of rows within a block.
+PLACE = ("epoch", "block_order", "slot")
+
+
+def mix(docs: DataFrame, target: Target | None = None, key: str = "doc_id", source: str = "source", text: str = "text", place: tuple[str, str, str] = PLACE) -> DataFrame:
+    """The rows of the mixture: docs with three columns of their place, which replace columns of those names."""
     target = target or Target()
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     light = stored(docs.select(F.col(key).alias("id"), name.alias("source"), tokens(F.col(text)).alias("tokens")))
@@ -167,10 +171,10 @@ def mix(docs: DataFrame, target: Target | None = None, key: str = "doc_id", sour
     copies = F.col("_mix_whole") + F.when((F.col("_mix_bs").isNotNull() & ~F.col("_mix_cut")) | F.col("_mix_fits").isNotNull(), 1).otherwise(0)
     out = own.withColumn("_mix_copies", copies).where("_mix_copies > 0").withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies") - 1)))
     e = F.col("_mix_epoch")
-    new = (e.alias("epoch"), hashed(target.seed, "order", e, F.col("_mix_source"), F.col("_mix_block")).alias("block_order"), hashed(target.seed, "slot", e, F.col(key)).alias("slot"))
-    return out.select(*(F.col(c) for c in docs.columns if c not in ("epoch", "block_order", "slot")), *new)
+    new = (e, hashed(target.seed, "order", e, F.col("_mix_source"), F.col("_mix_block")), hashed(target.seed, "slot", e, F.col(key)))
+    return out.select(*(F.col(c) for c in docs.columns if c not in place), *(c.alias(name) for c, name in zip(new, place, strict=True)))
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
+def in_order(mixed: DataFrame, place: tuple[str, str, str] = PLACE) -> DataFrame:
     """The rows of a mixture in the order of its epochs, blocks and slots, dealt out by ranges of blocks."""
-    return mixed.repartitionByRange("epoch", "block_order").sortWithinPartitions("epoch", "block_order", "slot")
+    return mixed.repartitionByRange(*place[:2]).sortWithinPartitions(*place)

@@ -11,7 +11,7 @@ Bounds: the scores are learned from at most PER_CLASS labelled rows of each labe
 others; all their words are kept. The words are counted and rated in Spark; the driver and the tasks hold 16 bytes a word. Scoring is one map over the texts, without a shuffle.
 
 Defined results: a null or empty text has no segment and gets the curve's value for that; without labelled rows of both classes every score
-is 1 / (1 + exp(30)), next to 0; several labels of one id count as toxic if one is; repeated rows give repeated results; an empty table gives no rows; only the id
+is 1 / (1 + exp(30)), next to 0; several labels of one id count as toxic if one is; of several texts of a labelled id the greatest is learned from; repeated rows give repeated results; an empty table gives no rows; only the id
 and the text are read in scoring, so clashing extra columns don't matter.
 """
 
@@ -223,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = bounded_sample(known, "label", 2 * per_class).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 4 x per_class ids
+    sample = sample.groupBy("doc_id", "label", "half").agg(F.max("text").alias("text"))  # one row for an id, however often it is repeated
     with Scratch(docs.sparkSession):
         return _learned(stored(sample.select("label", "half", "text")))
 

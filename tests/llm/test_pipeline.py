@@ -50,3 +50,34 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_stages_keep_columns_and_rows_of_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, two texts of one id, a very long text, names that the stages use themselves."""
+    kind = DOCS + ", epoch string, block_order string, slot string, score string, row string, id string, label string, class_id string, predicted string"
+    more = ("e", "b", "s", "sc", "r", "i", "l", "c", "p")
+    texts = [(1, words(40, 1)), (1, words(40, 2)), (2, words(40, 3)), (2, words(40, 3)), (2, words(40, 3)), (3, None), (3, None), (4, ""), (None, words(30, 4)), (None, None), (5, words(40_000, 5)), (6, words(40, 6) + "\n" + words(40, 3))]
+    rows = [(i, t, "en", s, None if t is None else len(t), *more) for (i, t), s in zip(texts, ["a", "a", "b", "b", "b", None, None, "a", "b", "a", "b", "a"], strict=True)]
+    df = spark.createDataFrame(rows, kind)
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 1, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("toxicity", "line_dedup", "near_dedup", "mixing"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert [(c, t) for c, t in out.dtypes if c != "n_chars"] == [(c, t) for c, t in docs.dtypes if c != "n_chars"] and set(out.columns) == set(docs.columns)
+        got = out.collect()
+        assert all(tuple(r[c] for c in ("epoch", "block_order", "slot", "score", "row", "id", "label", "class_id", "predicted")) == more for r in got)
+        ids = [r.doc_id for r in got]
+        if name in ("toxicity", "line_dedup"):
+            assert sorted(ids, key=str) == sorted((i for i, _ in texts), key=str)
+        if name == "line_dedup":
+            assert [r.text for r in got if r.doc_id == 2] == [words(40, 3)] * 3  # repeated rows are one document
+            assert [r.text for r in got if r.doc_id == 6] == [words(40, 6)]
+            assert sum(r.text is None for r in got) == 3
+        if name == "near_dedup":
+            assert ids.count(2) == 1 and ids.count(1) == 2 and ids.count(5) == 1 and ids.count(None) == 2
+            assert sum(r.text in (None, "") and r.doc_id is not None for r in got) == 1
+    ids = stages["sentencepiece"](spark, docs, str(tmp_path))
+    assert ids.count() == len(texts) and ids.where("ids IS NULL").count() == 3 and ids.where("n_tokens > 20000").count() == 1

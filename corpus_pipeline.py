@@ -20,29 +20,30 @@ from quillon.llm.common import Scratch, documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that aren't predicted toxic; columns as they were. The model is learned from the labelled rows of the tables."""
+    """Rows that aren't predicted toxic; columns as they were. The model is learned from the labelled rows of the tables. Null and empty texts stay."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     return toxic.score(rows, op8.fitted(spark, sf_dir), ("row",)).where("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the lines that repeat others; n_chars, where there is such a column, follows the text."""
+    """All rows, without the lines that repeat others; n_chars, where there is such a column, follows the text. Null texts stay null; a text whose lines all go is empty."""
     left = lines.dedup_lines(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates."""
+    """One row of each class of near duplicates, the one with the least id; null and empty texts are one class, rows of a null id stay."""
     return neardup.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mixture, in its order."""
-    return mixing.in_order(mixing.mix(docs)).select(docs.columns)
+    """The rows of the mixture, in its order; no column of docs is replaced. A null source is one of its own, with the empty name; null and empty texts carry no tokens."""
+    place = tuple("_" * max(map(len, docs.columns)) + c for c in mixing.PLACE)  # longer than any name there
+    return mixing.in_order(mixing.mix(docs, place=place), place).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, number of ids, and the ids of every text."""
+    """doc_id, source, lang, number of ids, and the ids of every text; a null text has null ids and their number is null."""
     done = spm.encode(docs, spm.load(), ("doc_id", "source", "lang"))
     return done.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -8,7 +8,7 @@ continuing a stored null, gives the same numbers. What a task returns is a maxim
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,27 @@ class DegenerateDesign(NeuroError):
     """A tested column in the span of the confounds."""
 
 
+def row_sums(w: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[column of w, column of y]: sums over the rows, in order, so that a column's bits don't depend on the columns beside it."""
+    out = np.zeros((w.shape[1], y.shape[1]))
+    for a, b in zip(w, y, strict=True):
+        out += a[:, None] * b[None, :]
+    return out
+
+
+def _squares(y: np.ndarray) -> np.ndarray:
+    total = np.zeros(y.shape[1])
+    for row in y:
+        total += row * row
+    return total
+
+
 def _residual(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    y = x.reshape(len(x), -1)
     for _ in range(2):
-        x = x - basis @ (basis.T @ x)
-    return x
+        for k, c in enumerate(row_sums(basis, y)):
+            y = y - basis[:, k : k + 1] * c[None, :]
+    return y.reshape(x.shape)
 
 
 def nuisance_basis(confounds: np.ndarray | None, n: int, intercept: bool) -> np.ndarray:
@@ -114,17 +131,20 @@ class TfceInference:
         return cls(a["stat_obs"], a["p_fwe"], a["p_unc"], NullState(m["seed"], a["maxima"], a["exceed"].astype(np.int64), a["tfce_obs"], params, Tail(m["tail"]), m["n"], m["q"], m["engine"]))
 
 
-class PermProblem:
-    """Everything that is fixed across draws."""
+def t_values(w: np.ndarray, residuals: np.ndarray, dof: int) -> np.ndarray:
+    """The t statistic of each node (column of unit-length residuals) under a design [row, column]; sums run over the rows in order."""
+    dots = row_sums(w, residuals)
+    rss = 1.0 - _squares(dots)
+    with np.errstate(all="ignore"):
+        return np.where(rss <= 4 * np.finfo(float).eps * dof, 0.0, dots[0] * np.sqrt(dof / rss))
 
-    def __init__(self, domain: Domain, data: np.ndarray, tested: np.ndarray | None, confounds: np.ndarray | None, opts: PermOpts, extend: NullState | None = None) -> None:
-        n, v = data.shape
+
+class Design:
+    """What draws do to the rows: the residual of the tested column, the basis of the confounds, and how draw b rearranges them. Without a tested column, signs are flipped."""
+
+    def __init__(self, n: int, tested: np.ndarray | None, confounds: np.ndarray | None, opts: PermOpts) -> None:
         if not 1 <= opts.n_perm < 1 << 32 or opts.batch < 1:
             raise InvalidParams("n_perm and batch must be positive")
-        if v != domain.n:
-            raise NeuroError(f"needs {domain.n} nodes, got {v}")
-        if not np.isfinite(data).all():
-            raise NeuroError("data must be finite")
         basis = nuisance_basis(confounds, n, tested is not None)
         q = basis.shape[1]
         if n < q + 2:
@@ -135,48 +155,57 @@ class PermProblem:
         r = _residual(x, basis)
         if np.linalg.norm(r) <= SPAN * np.linalg.norm(x):
             raise DegenerateDesign("the tested column lies in the span of the confounds")
-        self.domain, self.opts, self.n, self.q = domain, opts, n, q
-        self.design = np.column_stack((r / np.linalg.norm(r), basis))
-        y = _residual(data.astype(float), basis)
-        size, whole = np.linalg.norm(y, axis=0), np.linalg.norm(data, axis=0)
-        with np.errstate(all="ignore"):
-            self.store = np.where(size > SPAN * whole, y / size, 0.0)
+        self.n, self.q, self.dof, self.seed = n, q, n - q - 1, opts.seed
+        self.columns = np.column_stack((r / np.linalg.norm(r), basis))
         self.flip = tested is None
         self.exact = self.flip and n < 64 and 1 << n <= opts.n_perm
         self.draws = 1 << n if self.exact else opts.n_perm
-        self.dof = n - q - 1
-        if self.exact and extend is not None:
+
+    def residuals(self, data: np.ndarray) -> np.ndarray:
+        """[row, node] data less the confounds, of unit length; zero where nothing is left."""
+        y = _residual(data.astype(float), self.columns[:, 1:])
+        size, whole = np.sqrt(_squares(y)), np.sqrt(_squares(data))
+        with np.errstate(all="ignore"):
+            return np.where(size > SPAN * whole, y / size, 0.0)
+
+    def rearranged(self, draw: int) -> np.ndarray:
+        """The design of a draw; draw 0 is the observed one."""
+        if not self.flip:
+            return self.columns if draw == 0 else self.columns[resample_indices(Scheme.PERMUTATION, self.n, draw, self.seed).astype(np.int64)]
+        if self.exact:
+            signs = 1.0 - 2.0 * ((draw >> np.arange(self.n)) & 1)
+        else:
+            signs = np.ones(self.n) if draw == 0 else sign_flips(self.n, draw, self.seed)
+        return self.columns * signs[:, None]
+
+
+class PermProblem:
+    """Everything that is fixed across draws, with the data as one matrix."""
+
+    def __init__(self, domain: Domain, data: np.ndarray, tested: np.ndarray | None, confounds: np.ndarray | None, opts: PermOpts, extend: NullState | None = None) -> None:
+        n, v = data.shape
+        if v != domain.n:
+            raise NeuroError(f"needs {domain.n} nodes, got {v}")
+        if not np.isfinite(data).all():
+            raise NeuroError("data must be finite")
+        self.domain, self.opts, self.design = domain, opts, Design(n, tested, confounds, opts)
+        self.n, self.q, self.draws, self.dof = n, self.design.q, self.design.draws, self.design.dof
+        self.store = self.design.residuals(data)
+        if self.design.exact and extend is not None:
             raise InvalidParams("an enumerated null can't be continued")
         self.stat_obs = self.stats([0])[0]
         self.tfce_obs = tfce_map(domain, self.stat_obs, opts.params, opts.tail)
         self.first = 0
         if extend is not None:
-            same = (extend.seed, extend.params, extend.tail, extend.n, extend.q) == (opts.seed, opts.params, opts.tail, n, q) and np.array_equal(extend.tfce_obs, self.tfce_obs)
+            same = (extend.seed, extend.params, extend.tail, extend.n, extend.q) == (opts.seed, opts.params, opts.tail, n, self.q) and np.array_equal(extend.tfce_obs, self.tfce_obs)
             if not same or len(extend.maxima) >= self.draws:
                 raise InvalidParams("the stored null is of another test, or has as many draws")
             self.first = len(extend.maxima)
         self.extend = extend
 
-    def rearranged(self, draw: int) -> np.ndarray:
-        """The design of a draw."""
-        if not self.flip:
-            return self.design if draw == 0 else self.design[resample_indices(Scheme.PERMUTATION, self.n, draw, self.opts.seed).astype(np.int64)]
-        if self.exact:
-            signs = 1.0 - 2.0 * ((draw >> np.arange(self.n)) & 1)
-        else:
-            signs = np.ones(self.n) if draw == 0 else sign_flips(self.n, draw, self.opts.seed)
-        return self.design * signs[:, None]
-
     def stats(self, draws) -> np.ndarray:
-        """t maps [draw, node]; sums run over the rows in order, so a map's bits don't depend on the batch."""
-        out = []
-        for d in draws:
-            w = self.rearranged(d)
-            dots = np.einsum("np,nv->pv", w, self.store, optimize=False)
-            rss = 1.0 - (dots * dots).sum(0)
-            with np.errstate(all="ignore"):
-                out.append(np.where(rss <= 4 * np.finfo(float).eps * self.dof, 0.0, dots[0] * np.sqrt(self.dof / rss)))
-        return np.array(out)
+        """t maps [draw, node]; a map's bits don't depend on the batch."""
+        return np.array([t_values(self.design.rearranged(d), self.store, self.dof) for d in draws])
 
     def run(self, draws) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of some draws, and how often each node reaches its observed value."""
@@ -254,7 +283,8 @@ def complete_rows(n: int, tested, confounds) -> np.ndarray:
 def tfce_ols(data, domain: Domain, *, tested=None, confounds=None, params="exact", tail: Tail | str = Tail.TWO_SIDED, seed: int = 0, n_perm: int = 10_000, num_partitions: int | None = None, extend: NullState | None = None, spark: SparkSession | None = None) -> TfceInference:
     """Inference on the effect of a tested column (or, without one, on the mean by sign flips).
 
-    data: an array [row, node], or a DataFrame (subject, node, value), dealt by subject and node number.
+    data: an array [row, node], or a DataFrame (subject, node, value). A DataFrame of more than LARGEST bytes stays a table (see nulls.inference, which
+    can also continue a stored null and gives its result as a table); here its maxima and p-values are collected.
     """
     settings = resolve_params(params, INFERENCE)
     tail = tail if isinstance(tail, Tail) else Tail(tail)
@@ -262,6 +292,10 @@ def tfce_ols(data, domain: Domain, *, tested=None, confounds=None, params="exact
         raise InvalidParams("seed, n_perm and num_partitions must be whole numbers in range")
     if isinstance(data, DataFrame):
         spark = data.sparkSession
+        if data.select("subject").distinct().count() * domain.n * 8 > LARGEST:
+            if extend is not None:
+                raise InvalidParams("a null of tables is continued by nulls.inference and its path")
+            return _by_tables(data, domain, tested, confounds, PermOpts(settings, tail, seed, n_perm))
         data = matrix_of(data, domain.n)
     data = np.asarray(data, float)
     rows = complete_rows(len(data), tested, confounds)
@@ -272,6 +306,18 @@ def tfce_ols(data, domain: Domain, *, tested=None, confounds=None, params="exact
     return problem.finalize(*found)
 
 
+def _by_tables(df: DataFrame, domain: Domain, tested, confounds, opts: PermOpts) -> TfceInference:
+    """The result of tfce_ols from tables: a number for each node and draw."""
+    from quillon.operators import nulls
+
+    found, null = nulls.inference(df, domain, tested=tested, confounds=confounds, params=opts.params, tail=opts.tail, seed=opts.seed, n_perm=opts.n_perm)
+    by_node = found.join(null.exceed(), "node").orderBy("node").toArrow()
+    column = lambda c: by_node.column(c).to_numpy()
+    maxima = null.maxima().orderBy("max").toArrow().column("max").to_numpy()
+    of = json.loads(null.settings)
+    return TfceInference(column("stat"), column("p_fwe"), column("p_unc"), NullState(opts.seed, maxima, column("exceed"), column("tfce"), opts.params, opts.tail, of["n"], of["q"]))
+
+
 def matrix_of(df: DataFrame, n_nodes: int) -> np.ndarray:
     """[subject, node] of long rows (subject, node, value); subjects in order. Refused where it would pass LARGEST bytes."""
     n = df.select("subject").distinct().count()
@@ -292,7 +338,7 @@ def node_stats(df: DataFrame, tested: np.ndarray | None, confounds: np.ndarray |
     n = len(tested) if tested is not None else int(df.agg(F.max("subject")).first()[0]) + 1
     lone = Domain(1, np.zeros(0, np.int64), np.zeros(0, np.int64))
     base = PermProblem(lone, np.arange(n, dtype=float)[:, None] ** 2, tested, confounds, PermOpts(resolve_params("exact"), Tail.TWO_SIDED, 0, 1))
-    shared = df.sparkSession.sparkContext.broadcast((base.design, base.dof))
+    shared = df.sparkSession.sparkContext.broadcast((base.design.columns, base.dof))
 
     def run(t: pa.Table) -> pa.Table:
         design, dof = shared.value
@@ -307,8 +353,3 @@ def node_stats(df: DataFrame, tested: np.ndarray | None, confounds: np.ndarray |
 
     ready = df.select(F.col("subject").cast("long").alias("subject"), F.col("node").cast("long").alias("node"), F.col("value").cast("double").alias("value"))
     return ready.groupBy("node").applyInArrow(run, "node long, stat double")
-
-
-def with_draws(opts: PermOpts, n_perm: int) -> PermOpts:
-    """The same settings with another budget."""
-    return replace(opts, n_perm=n_perm)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import special as S
 from quillon.operators.descriptive import _col, clean, present
+from quillon.operators.order import ranked
 
 
 class Ties(Enum):
@@ -27,9 +28,14 @@ class Infinities(Enum):
 
 
 def rank(df: DataFrame, value: str, ties: Ties, *keys: str, order: str | None = None, out: str = "rank") -> DataFrame:
-    """Rows whose value isn't missing, with their rank (from 1) in their group. Ordinal ranks of ties go by the order column."""
+    """Rows whose value isn't missing, with their rank (from 1) in their group. Ordinal ranks of ties go by the order column.
+
+    Without keys, ranks are made over ranges (see order.ranked, which also takes keys whose groups outgrow a task).
+    """
     if ties is Ties.ORDINAL and order is None:
         raise ValueError("ordinal ranks need an order column")
+    if not keys:
+        return ranked(df, value, ties.value, order=order, out=out)
     x = F.col("_x")
     w = Window.partitionBy(*keys).orderBy(x)
     r = {
@@ -44,7 +50,8 @@ def rank(df: DataFrame, value: str, ties: Ties, *keys: str, order: str | None =
 
 def normal_scores(df: DataFrame, value: str, *keys: str, out: str = "score") -> DataFrame:
     """Blom's scores: the normal quantile of (rank - 3/8) / (n + 1/4)."""
-    r = rank(df, value, Ties.AVERAGE, *keys, out="_r").withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    r = rank(df, value, Ties.AVERAGE, *keys, out="_r")
+    r = r.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)) if keys else F.lit(df.where(present(value)).count()))
     return r.withColumn(out, S.column(S.norm_ppf, (F.col("_r") - 0.375) / (F.col("_n") + 0.25))).drop("_r", "_n")
 
 

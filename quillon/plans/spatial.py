@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.operators import graph as G
+from quillon.operators import nulls as N
 from quillon.operators import permute as P
 from quillon.operators import tfce as T
 from quillon.operators.storage import shared_dir
@@ -140,6 +141,36 @@ def tfce_ols_enumerated(spark, sf_dir):
     return P.tfce_ols(data, G.Domain.from_volume((5, 11, 1), 6), params="nilearn", tail="positive", seed=1, n_perm=256, num_partitions=4).to_df(spark)
 
 
+_FLIPS_SQL = """
+    WITH RECURSIVE y AS (
+      SELECT l_orderkey % 8 AS s, (floor((l_quantity - 1) / 10) * 11 + round(l_discount * 100))::BIGINT AS node, avg(l_extendedprice / l_quantity / 1000) - 1 AS y FROM lineitem GROUP BY ALL),
+    r AS (SELECT draw, node, sum((1 - 2 * ((draw >> s) & 1)) * y) / sqrt(8 * sum(y * y)) AS r FROM y, (SELECT unnest(range(0, 256)) AS draw) GROUP BY draw, node),
+    m AS (SELECT draw, node, r * sqrt(7) / sqrt(1 - r * r) AS stat FROM r),
+    inside AS (SELECT draw, k, node FROM m JOIN (SELECT unnest(range(0, 1000)) AS k) ON stat > 0.5 + 0.5 * k),
+    steps AS (
+      SELECT i.draw, i.k, i.node AS src, j.node AS dst FROM inside i JOIN inside j ON i.draw = j.draw AND i.k = j.k
+      AND (j.node IN (i.node - 11, i.node + 11) OR j.node IN (i.node - 1, i.node + 1) AND j.node // 11 = i.node // 11)),
+    reached(draw, k, src, dst) AS (
+      SELECT draw, k, node, node FROM inside UNION SELECT r.draw, r.k, r.src, s.dst FROM reached r JOIN steps s ON r.draw = s.draw AND r.k = s.k AND r.dst = s.src),
+    sizes AS (SELECT draw, k, src AS node, count(*) AS size FROM reached GROUP BY ALL),
+    summed AS (SELECT draw, node, sum(sqrt(size) * pow(0.5 + 0.5 * k, 2) * 0.5) AS t FROM sizes GROUP BY ALL),
+    e AS (SELECT m.draw, m.node, m.stat, round(coalesce(t, 0.0), 9) AS t FROM m LEFT JOIN summed USING (draw, node)),
+    tops AS (SELECT draw, max(t) AS top FROM e GROUP BY draw),
+    o AS (SELECT node, stat, t FROM e WHERE draw = 0),
+    u AS (SELECT o.node, count(*) FILTER (e.t >= o.t) / 256.0::DOUBLE AS p_unc FROM o JOIN e ON e.node = o.node GROUP BY o.node),
+    f AS (SELECT o.node, count(*) FILTER (top >= o.t) / 256.0::DOUBLE AS p_fwe FROM o, tops GROUP BY o.node)
+    SELECT o.node, round(stat, 6) AS stat, round(t, 4) AS tfce, p_fwe, p_unc FROM o JOIN u USING (node) JOIN f USING (node)"""
+_FLIPS = {"weighting": "smith_nichols", "start": 0.5, "step": 0.5}
+
+
+@query("tfce_ols_tables", _FLIPS_SQL)
+def tfce_ols_tables(spark, sf_dir):
+    """All 2^8 sign patterns of the mean of eight subjects, from blocks of nodes."""
+    data = _subjects(spark, sf_dir, 8).withColumn("value", F.col("value") - 1.0)
+    found, _ = N.inference(data, G.Domain.from_volume((5, 11, 1), 6), params=_FLIPS, tail="positive", seed=1, n_perm=256, width=16)
+    return found.select("node", F.round("stat", 6).alias("stat"), F.round("tfce", 4).alias("tfce"), "p_fwe", "p_unc")
+
+
 @query("node_stats", """
     WITH d AS (SELECT l_orderkey % 12 AS s, (floor((l_quantity - 1) / 10) * 11 + round(l_discount * 100))::BIGINT AS node, avg(l_extendedprice / l_quantity / 1000) AS y FROM lineitem GROUP BY ALL),
     r AS (SELECT node, corr(y, s) AS r FROM d GROUP BY node)

@@ -44,6 +44,18 @@ def normal_scores(spark, sf_dir):
     return s.select("c_custkey", F.round(dist.Normal().cdf(F.col("score")), 9).alias("back"))
 
 
+@query("ranks_without_keys", """
+    SELECT o_orderkey, rank() OVER w + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::DOUBLE AS average, (rank() OVER w)::DOUBLE AS lowest, (count(*) OVER (ORDER BY o_custkey RANGE UNBOUNDED PRECEDING))::DOUBLE AS highest,
+      (dense_rank() OVER w)::DOUBLE AS dense, (row_number() OVER (ORDER BY o_custkey, o_orderkey))::DOUBLE AS ordinal
+    FROM orders WINDOW w AS (ORDER BY o_custkey)""")
+def ranks_without_keys(spark, sf_dir):
+    """Ranks of the whole table, by ranges."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    for ties, name in ((T.Ties.AVERAGE, "average"), (T.Ties.MIN, "lowest"), (T.Ties.MAX, "highest"), (T.Ties.DENSE, "dense"), (T.Ties.ORDINAL, "ordinal")):
+        df = T.rank(df, "o_custkey", ties, order="o_orderkey", out=name)
+    return df.drop("o_custkey")
+
+
 @query("box_cox", "SELECT o_orderkey, round((pow(o_totalprice, 0.5) - 1) / 0.5, 6) AS half, round(ln(o_totalprice), 9) AS log FROM orders")
 def box_cox(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(T.box_cox("o_totalprice", 0.5), 6).alias("half"), F.round(T.box_cox("o_totalprice", 0.0), 9).alias("log"))
@@ -58,9 +70,16 @@ def yeo_johnson(spark, sf_dir):
     return _customers(spark, sf_dir).select("c_custkey", F.round(T.yeo_johnson(x, 0.5), 6).alias("half"), F.round(T.yeo_johnson(x, 0.0), 2).alias("zero"), (F.round(T.yeo_johnson(x, 2.0) / 1000, 2) + 0.0).alias("two"))
 
 
-@query("pit_and_map", f"SELECT event_id, round({phi('((value - 50) / 30)')}, 8) AS u, round(-ln(1 - {phi('((value - 50) / 30)')}), 5) AS mapped FROM events WHERE abs(value - 50) < 120")
+def _tail(z: str) -> str:
+    """SQL of -ln of the upper tail of the standard normal: from the series of its cdf, and from three standard deviations on by a continued fraction."""
+    return f"CASE WHEN {z} < 3 THEN -ln(1 - {phi(z)}) ELSE {z} * {z} / 2 + 0.5 * ln(2 * pi()) + ln(list_reduce(list_concat([{z}], range(80, 0, -1)::DOUBLE[]), lambda a, k: {z} + k / a)) END"
+
+
+@query("pit_and_map", f"""
+    SELECT event_id, round(CASE WHEN z >= 3 THEN 1 - exp(-above) WHEN z <= -3 THEN exp(-below) ELSE {phi('z')} END, 8) AS u, round(above, 5) AS mapped FROM (
+      SELECT event_id, z, {_tail('z')} AS above, {_tail('(-z)')} AS below FROM (SELECT event_id, (value - 50) / 30 AS z FROM events))""")
 def pit_and_map(spark, sf_dir):
-    """All events; the SQL covers those within four standard deviations of 50, where its series holds."""
+    """All events."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = dist.Normal(50, 30)
     return df.select("event_id", F.round(T.pit("value", n), 8).alias("u"), F.round(T.quantile_map("value", n, dist.Exponential(1.0)), 5).alias("mapped"))
@@ -146,9 +165,9 @@ def special_functions(spark, sf_dir):
 
 @query("digamma", """
     WITH g AS (SELECT DISTINCT l_quantity AS q FROM lineitem)
-    SELECT q, round(-0.57721566490153286 + list_sum([1.0 / i FOR i IN range(1, q::INT)]) + CASE WHEN q = 1 THEN 0 ELSE 0 END, 9) AS digamma FROM g WHERE q > 1""")
+    SELECT q, round(-0.57721566490153286 + coalesce(list_sum([1.0::DOUBLE / i FOR i IN range(1, q::INT)]), 0), 9) AS digamma FROM g""")
 def digamma(spark, sf_dir):
-    """All quantities; the SQL leaves out 1."""
+    """All quantities."""
     q = F.col("q")
     return lineitem(spark, sf_dir).select(F.col("l_quantity").alias("q")).distinct().select("q", F.round(S.column(S.digamma, q), 9).alias("digamma"))
 

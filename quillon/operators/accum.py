@@ -1,90 +1,269 @@
-"""Mergeable accumulators: compensated sums, histograms and t-digests.
+"""Mergeable accumulators: sums, moments, histograms and t-digests.
 
-The state of a group is built for each partition by an Arrow map and merged afterwards; only states are shuffled, a row for each
-partition and group, so a group of any size never meets in one task.
+An accumulator has a state of a few columns, made by init, fed by update, put together by merge and turned into a result by finish. Every task keeps one state
+for each group; states are merged in two steps, first within SALT shares of a group, then these; so no task gets all states of a group, and a group of any
+size never meets in one task. States are columns like any other: they can be stored, and rolled up to fewer keys later.
 """
 
 from __future__ import annotations
 
 import math
+from abc import ABC, abstractmethod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.descriptive import clean, present
 from quillon.operators.errors import DomainError
+from quillon.operators.order import group_key
 
 DELTA = 100.0
+#: Shares of a group whose states are merged apart.
+SALT = 64
+#: Most groups that a task holds; it gives out their states and begins anew.
+MOST_GROUPS = 100_000
 
 
-def _partials(rows: DataFrame, state, schema: str):
-    """state(values) of every key and batch: (key, state fields). rows: key string, x double."""
-    names = [f.split()[0] for f in schema.split(", ")]
+class Accumulator(ABC):
+    """The contract. State and result are tuples with the fields of their DDL; values are finite or infinite, never missing."""
+
+    #: DDL of the state's columns.
+    state: str
+    #: DDL of the result's columns.
+    result: str
+
+    @abstractmethod
+    def init(self) -> tuple:
+        """The state of no values."""
+
+    @abstractmethod
+    def update(self, state: tuple, x: np.ndarray) -> tuple:
+        """The state after more values."""
+
+    @abstractmethod
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        """The state of the values of both."""
+
+    @abstractmethod
+    def finish(self, state: tuple) -> tuple:
+        """The result of a state."""
+
+
+def _names(ddl: str) -> list[str]:
+    return [f.split()[0] for f in ddl.split(", ")]
+
+
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    """key, salt and the columns of a DDL."""
+    return pa.schema([("key", pa.string()), ("salt", pa.int64()), *((f.split()[0], _KINDS[f.split()[1]]) for f in ddl.split(", "))])
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = _schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+
+def _task_states(rows: DataFrame, acc: Accumulator) -> DataFrame:
+    """(key, salt, state) of (key, x) rows: one row for each task and group."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        salt, held = TaskContext.get().partitionId() % SALT, {}
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            coded = t.column("key").combine_chunks().dictionary_encode()
+            coded = b.column(0).dictionary_encode()
             codes, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            x = t.column("x").to_numpy()
             order = np.argsort(codes, kind="stable")
+            x = b.column(1).to_numpy()[order]
             cut = np.searchsorted(codes[order], np.arange(len(keys) + 1))
-            out = [(k, *state(x[order[cut[i] : cut[i + 1]]])) for i, k in enumerate(keys)]
-            yield pa.RecordBatch.from_pylist([dict(zip(["key", *names], o, strict=True)) for o in out], schema=_ARROW[schema])
+            for i, k in enumerate(keys):
+                held[k] = acc.update(held.get(k) or acc.init(), x[cut[i] : cut[i + 1]])
+            if len(held) > MOST_GROUPS:
+                yield _batch([(k, salt, *s) for k, s in held.items()], acc.state)
+                held = {}
+        yield _batch([(k, salt, *s) for k, s in held.items()], acc.state)
 
-    return rows.mapInArrow(run, f"key string, {schema}")
+    return rows.mapInArrow(run, f"key string, salt long, {acc.state}")
 
 
-_SUM = "n long, hi double, lo double"
-_DIGEST = "n long, least double, most double, means array<double>, weights array<double>"
-_ARROW = {
-    _SUM: pa.schema([("key", pa.string()), ("n", pa.int64()), ("hi", pa.float64()), ("lo", pa.float64())]),
-    _DIGEST: pa.schema([("key", pa.string()), ("n", pa.int64()), ("least", pa.float64()), ("most", pa.float64()), ("means", pa.list_(pa.float64())), ("weights", pa.list_(pa.float64()))]),
-}
+def _merged(states: DataFrame, acc: Accumulator) -> DataFrame:
+    """(key, salt, state) rows merged within a key, by way of the shares."""
+    names = _names(acc.state)
 
+    def run(t: pa.Table) -> pa.Table:
+        rows = list(zip(*(t.column(c).to_pylist() for c in names), strict=True))
+        while len(rows) > 1:  # by pairs, so that states of like size meet
+            rows = [acc.merge(*rows[i : i + 2]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
+        return pa.Table.from_batches([_batch([(t.column("key")[0].as_py(), t.column("salt")[0].as_py(), *rows[0])], acc.state)])
 
-def _keyed(df: DataFrame, value: str | Column, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(key, x) rows without missing values; and the groups, with key as JSON."""
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
-    return df.where(present(value)).select(key.alias("key"), clean(value).alias("x")), df.select(*keys, key.alias("key")).distinct() if keys else None
+    ddl = f"key string, salt long, {acc.state}"
+    return states.groupBy("key", "salt").applyInArrow(run, ddl).groupBy("key").applyInArrow(run, ddl)
 
 
-def _labelled(done: DataFrame, df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _grouped(key_rows: DataFrame, keys: tuple[str, ...], source: DataFrame, cols: list[str]) -> DataFrame:
     """The groups' own columns in place of the key."""
     if not keys:
-        return done.drop("key")
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return done.withColumn("_k", F.from_json("key", kinds)).select(*(F.col("_k")[k].alias(k) for k in keys), *(c for c in done.columns if c != "key"))
+        return key_rows.select(*cols)
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    return key_rows.withColumn("_k", F.from_json("key", kinds)).select(*(F.col("_k")[k].alias(k) for k in keys), *cols)
 
 
-def _fsum(x: np.ndarray) -> float:
-    """Sum, correctly rounded; by IEEE rules where values aren't finite or the sum overflows."""
-    try:
-        return math.fsum(x)
-    except (OverflowError, ValueError):
-        return float(np.sum(x))
+def accumulate(df: DataFrame, acc: Accumulator, value: str | Column, *keys: str) -> DataFrame:
+    """keys and the columns of the state: one row for each group that has values that aren't missing."""
+    rows = df.where(present(value)).select(group_key(keys).alias("key"), clean(value).alias("x"))
+    return _grouped(_merged(_task_states(rows, acc), acc), keys, df, _names(acc.state))
 
 
-def exact_sum(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """keys, n, sum: compensated sums. Partial sums carry their rounding error, so the split into partitions hardly matters."""
+def roll_up(states: DataFrame, acc: Accumulator, *keys: str) -> DataFrame:
+    """States of finer groups (rows with the columns of the state) merged to those of the keys."""
+    names = _names(acc.state)
+    rows = states.select(group_key(keys).alias("key"), F.pmod(F.xxhash64(*names), F.lit(SALT)).alias("salt"), *names)
+    return _grouped(_merged(rows, acc), keys, states, names)
+
+
+def finish(states: DataFrame, acc: Accumulator) -> DataFrame:
+    """The columns that aren't the state's, and the result of every row."""
+    names = _names(acc.state)
+    others = [c for c in states.columns if c not in names]
+
+    def run(batches):
+        for b in batches:
+            done = [acc.finish(s) for s in zip(*(b.column(c).to_pylist() for c in names), strict=True)]
+            made = [pa.array([r[i] for r in done], _KINDS[f.split()[1]]) for i, f in enumerate(acc.result.split(", "))]
+            yield pa.RecordBatch.from_arrays([*(b.column(f"_k{i}") for i in range(len(others))), *made], [*(f"_k{i}" for i in range(len(others))), *_names(acc.result)])
+
+    ready = states.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(others)), *names)
+    kinds = "".join(f"_k{i} {states.schema[c].dataType.simpleString()}, " for i, c in enumerate(others))
+    out = ready.mapInArrow(run, kinds + acc.result)
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(others)), *_names(acc.result))
+
+
+# --- sums and moments -----------------------------------------------------------------------------------------------
+
+
+def expansion(x: list[float]) -> list[float]:
+    """A few numbers of falling size whose exact sum is that of x, which must be finite."""
+    out: list[float] = []
+    while True:
+        r = math.fsum(x)
+        if r == 0:
+            return out
+        out.append(r)
+        x = [*x, -r]
+
+
+class Sum(Accumulator):
+    """The correctly rounded sum: the state holds the exact sum as an expansion, so neither the split nor the order of rows changes a bit.
+
+    Values that aren't finite, or an overflow, make it what IEEE sums give.
+    """
+
+    state = "n long, parts array<double>, odd double"
+    result = "n long, sum double"
+
+    def init(self) -> tuple:
+        return 0, [], 0.0
+
+    def update(self, state: tuple, x: np.ndarray) -> tuple:
+        fine = np.isfinite(x)
+        whole = fine.all()
+        return self.merge(state, (len(x), *self._parts(x.tolist() if whole else x[fine].tolist()), 0.0 if whole else float(x[~fine].sum())))
 
-    def state(x: np.ndarray):
-        hi = _fsum(x)
-        lo = math.fsum([*x, -hi]) if math.isfinite(hi) else 0.0
-        return len(x), hi, lo
+    @staticmethod
+    def _parts(x: list[float]) -> tuple[list[float]]:
+        try:
+            return (expansion(x),)
+        except OverflowError:
+            return ([float(v) for v in x] if len(x) < 8 else [float(np.sum(x))],)
 
-    rows, _ = _keyed(df, value, keys)
-    parts = _partials(rows, state, _SUM)
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        parts = [*a[1], *b[1]]
+        odd = a[2] + b[2]
+        if all(map(math.isfinite, parts)):
+            try:
+                return a[0] + b[0], expansion(parts) if a[1] and b[1] else parts, odd
+            except OverflowError:
+                pass
+        return a[0] + b[0], [], odd + float(np.sum(parts))
 
-    def merge(t: pa.Table) -> pa.Table:
-        s = _fsum(np.concatenate((t.column("hi").to_numpy(), t.column("lo").to_numpy())))
-        return pa.table({"key": t.column("key").slice(0, 1), "n": [sum(t.column("n").to_pylist())], "sum": pa.array([s], pa.float64())})
+    def finish(self, state: tuple) -> tuple:
+        return state[0], state[2] + (math.fsum(state[1]) if state[1] else 0.0)
 
-    return _labelled(parts.groupBy("key").applyInArrow(merge, "key string, n long, sum double"), df, keys)
+
+class Moments(Accumulator):
+    """Count, mean, variance (n - 1), skewness and excess kurtosis, from central sums that are merged pairwise. Null where there are too few values, NaN skewness where all are equal."""
+
+    state = "n long, mean double, m2 double, m3 double, m4 double"
+    result = "n long, mean double, var double, skewness double, kurtosis double"
+
+    def init(self) -> tuple:
+        return 0, 0.0, 0.0, 0.0, 0.0
+
+    def update(self, state: tuple, x: np.ndarray) -> tuple:
+        if not len(x):
+            return state
+        mean = float(x.mean())
+        d = x - mean
+        mean += float(d.mean())  # the second pass takes the rounding of the first out
+        d = x - mean
+        return self.merge(state, (len(x), mean, float((d * d).sum()), float((d**3).sum()), float((d**4).sum())))
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        if not a[0] or not b[0]:
+            return a if a[0] else b
+        (p, ma, a2, a3, a4), (q, mb, b2, b3, b4) = a, b
+        n, d = p + q, mb - ma
+        m2 = a2 + b2 + d * d * p * q / n
+        m3 = a3 + b3 + d**3 * p * q * (p - q) / n**2 + 3 * d * (p * b2 - q * a2) / n
+        m4 = a4 + b4 + d**4 * p * q * (p * p - p * q + q * q) / n**3 + 6 * d * d * (p * p * b2 + q * q * a2) / n**2 + 4 * d * (p * b3 - q * a3) / n
+        return n, ma + d * q / n, m2, m3, m4
+
+    def finish(self, state: tuple) -> tuple:
+        n, mean, m2, m3, m4 = state
+        var = m2 / (n - 1) if n > 1 else None
+        if n < 3:
+            return n, mean, var, None, None
+        flat = not m2 > 0
+        g1 = math.nan if flat else math.sqrt(n) * m3 / m2**1.5
+        return n, mean, var, g1, math.nan if flat else n * m4 / m2**2 - 3
+
+
+class Histogram(Accumulator):
+    """Counts of bins of one width from lo to hi, the last one closed, and of values beyond."""
+
+    state = "counts array<long>, underflow long, overflow long"
+    result = state
+
+    def __init__(self, lo: float, hi: float, bins: int) -> None:
+        if not (math.isfinite(lo) and math.isfinite(hi) and lo < hi) or bins < 1:
+            raise DomainError("needs lo < hi, both finite, and a bin at least")
+        self.lo, self.hi, self.bins = lo, hi, bins
+
+    def init(self) -> tuple:
+        return [0] * self.bins, 0, 0
+
+    def update(self, state: tuple, x: np.ndarray) -> tuple:
+        inside = x[(x >= self.lo) & (x <= self.hi)]
+        at = np.minimum(np.floor((inside - self.lo) / ((self.hi - self.lo) / self.bins)).astype(np.int64), self.bins - 1)
+        return self.merge(state, (np.bincount(at, minlength=self.bins).tolist(), int((x < self.lo).sum()), int((x > self.hi).sum())))
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        return [int(p + q) for p, q in zip(a[0], b[0], strict=True)], a[1] + b[1], a[2] + b[2]
+
+    def finish(self, state: tuple) -> tuple:
+        return state
+
+
+def exact_sum(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """keys, n, sum: correctly rounded sums, the same under any partitioning."""
+    return finish(accumulate(df, Sum(), value, *keys), Sum())
 
 
 # --- t-digest -------------------------------------------------------------------------------------------------------
@@ -108,29 +287,41 @@ def compress(means: np.ndarray, weights: np.ndarray, delta: float = DELTA) -> tu
     return np.array(out_m), np.array(out_w)
 
 
-def _digested(x: np.ndarray, delta: float) -> tuple:
-    x = np.sort(x)
-    m, w = compress(x, np.ones(len(x)), delta)
-    return len(x), float(x[0]), float(x[-1]), m, w
+class Digest(Accumulator):
+    """A t-digest: count, exact ends, and centroids of at most one unit of the scale."""
 
+    state = "n long, least double, most double, means array<double>, weights array<double>"
+    result = state
 
-def tdigest(df: DataFrame, value: str, *keys: str, delta: float = DELTA) -> DataFrame:
-    """keys, digest: a struct of n, least, most, and centroids (means, weights) of each group; exact least and greatest value."""
-    if not delta >= 1:
-        raise DomainError("delta must be 1 at least")
-    rows, _ = _keyed(df, value, keys)
-    parts = _partials(rows, lambda x: _digested(x, delta), _DIGEST)
-
-    def merge(t: pa.Table) -> pa.Table:
-        m = np.concatenate([np.array(x) for x in t.column("means").to_pylist()])
-        w = np.concatenate([np.array(x) for x in t.column("weights").to_pylist()])
+    def __init__(self, delta: float = DELTA) -> None:
+        if not delta >= 1:
+            raise DomainError("delta must be 1 at least")
+        self.delta = delta
+
+    def init(self) -> tuple:
+        return 0, math.inf, -math.inf, [], []
+
+    def update(self, state: tuple, x: np.ndarray) -> tuple:
+        if not len(x):
+            return state
+        x = np.sort(x)
+        m, w = compress(x, np.ones(len(x)), self.delta)
+        return self.merge(state, (len(x), float(x[0]), float(x[-1]), m, w))
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        if not a[0] or not b[0]:
+            return a if a[0] else b
+        m, w = np.concatenate((a[3], b[3])), np.concatenate((a[4], b[4]))
         order = np.argsort(m, kind="stable")
-        m, w = compress(m[order], w[order], delta)
-        one = {"key": t.column("key")[0].as_py(), "n": sum(t.column("n").to_pylist()), "least": min(t.column("least").to_pylist()), "most": max(t.column("most").to_pylist()), "means": m, "weights": w}
-        return pa.Table.from_pylist([one], schema=_ARROW[_DIGEST])
+        return a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), *compress(m[order], w[order], self.delta)
 
-    done = parts.groupBy("key").applyInArrow(merge, f"key string, {_DIGEST}").select("key", F.struct("n", "least", "most", "means", "weights").alias("digest"))
-    return _labelled(done, df, keys)
+    def finish(self, state: tuple) -> tuple:
+        return state
+
+
+def tdigest(df: DataFrame, value: str, *keys: str, delta: float = DELTA) -> DataFrame:
+    """keys, digest: a struct of n, least, most, and centroids (means, weights) of each group; exact least and greatest value."""
+    return accumulate(df, Digest(delta), value, *keys).select(*keys, F.struct(*_names(Digest.state)).alias("digest"))
 
 
 def _anchors(digest: Column) -> tuple[Column, Column]:
@@ -200,9 +391,3 @@ def ecdf(counts: str | Column) -> Column:
     total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     upto = lambda i: F.aggregate(F.slice(c, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x)
     return F.transform(c, lambda _, i: F.when(total > 0, upto(i) / F.nullif(total, F.lit(0))).otherwise(F.lit(float("nan"))))
-
-
-def ecdf_table(binned: DataFrame, bin_col: str, count_col: str, *keys: str) -> DataFrame:
-    """The same over a table of bins, as a window."""
-    w = Window.partitionBy(*keys)
-    return binned.withColumn("ecdf", F.sum(count_col).over(w.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(count_col).over(w))

@@ -1,6 +1,6 @@
 """Descriptive aggregates. A missing value is null or NaN and is left out; infinities are kept.
 
-The functions give aggregate Columns for ``groupBy().agg()``; Spark's partial aggregates do the merging.
+The functions give aggregate Columns for ``groupBy().agg()``; Spark's partial aggregates do the merging. ``describe`` gives a DataFrame.
 """
 
 from __future__ import annotations
@@ -113,13 +113,22 @@ def pearson(a, b) -> Column:
 
 
 def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """n, min, q1, median, q3, max, mean, sd, skewness and kurtosis of each group, from one aggregation."""
+    """n, min, q1, median, q3, max, mean, sd, skewness and kurtosis of each group, from one aggregation.
+
+    Where a group has more than select.FEW values, quartiles come from selection instead, so that no task holds more values of a group.
+    """
+    from quillon.operators import select
+
     x = F.col("_x")
-    return (
-        df.select(*keys, clean(value).alias("_x")).groupBy(*keys)
-        .agg(
-            F.count(x).alias("n"), F.min(x).alias("min"), F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-            sd(x, Ddof.SAMPLE).alias("sd"), skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"),
-        )
-        .select(*keys, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", "mean", "sd", "skewness", "kurtosis")
-    )
+    rows = df.select(*keys, clean(value).alias("_x"))
+    most = rows.groupBy(*keys).agg(F.count(x).alias("n")).agg(F.max("n")).first()[0] or 0
+    few = [F.percentile(x, [0.25, 0.5, 0.75]).alias("q")] if most <= select.FEW else []
+    both = rows.groupBy(*keys).agg(
+        *few, F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), sd(x, Ddof.SAMPLE).alias("sd"), skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"))
+    if not few:
+        q = select.quantiles(rows, "_x", [0.25, 0.5, 0.75], *keys).select(*(F.col(k).alias(f"_q{i}") for i, k in enumerate(keys)), "q")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_q{i}"))
+        both = both.join(q if keys else F.broadcast(q), same, "left")  # without keys, one row
+    return both.select(*keys, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "mean", "sd", "skewness", "kurtosis")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import accum
+from quillon.operators import accum, select
 from quillon.operators import descriptive as D
 from quillon.plans.register import Register
 
@@ -35,6 +35,14 @@ def describe_by_group(spark, sf_dir):
     return rounded(D.describe(lineitem(spark, sf_dir), "l_extendedprice", "l_returnflag", "l_linestatus"), 4)
 
 
+@query("quantiles_by_group", """
+    SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.01), 6) AS p1, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.999), 6) AS p999 FROM orders GROUP BY 1""")
+def quantiles_by_group(spark, sf_dir):
+    """Exact quantiles by selection."""
+    q = select.quantiles(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_totalprice", [0.01, 0.5, 0.999], "o_orderpriority")
+    return q.select("o_orderpriority", "n", *(F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p1", "p50", "p999"))))
+
+
 #: Every seventh quantity made missing, on both sides: NaN or null by turns.
 _NAN = "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END"
 
@@ -85,6 +93,18 @@ def histogram_fixed(spark, sf_dir):
     return flat.select("l_returnflag", "bin", F.col("z.counts").alias("n"), F.col("edges")[F.col("bin")].alias("lower"), F.round("z.e", 9).alias("ecdf"), "underflow", "overflow")
 
 
+@query("accumulated_moments", f"""
+    SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 5) AS mean, round(var_samp(l_extendedprice) / 1e6, 6) AS var, round({_G1.format(x='l_extendedprice')}, 8) AS skewness, round(kurtosis_pop(l_extendedprice), 8) AS kurtosis,
+      round(fsum(l_extendedprice), 2) AS sum FROM lineitem GROUP BY 1""")
+def accumulated_moments(spark, sf_dir):
+    """States by flag, status and line number, rolled up to the flag."""
+    df = lineitem(spark, sf_dir)
+    m, s = accum.Moments(), accum.Sum()
+    up = lambda acc: accum.finish(accum.roll_up(accum.accumulate(df, acc, "l_extendedprice", "l_returnflag", "l_linestatus", "l_linenumber"), acc, "l_returnflag"), acc)
+    both = up(m).join(up(s).select("l_returnflag", "sum"), "l_returnflag")
+    return both.select("l_returnflag", "n", F.round("mean", 5).alias("mean"), F.round(F.col("var") / 1e6, 6).alias("var"), F.round("skewness", 8).alias("skewness"), F.round("kurtosis", 8).alias("kurtosis"), F.round("sum", 2).alias("sum"))
+
+
 @query("tdigest_quantiles")
 def tdigest_quantiles(spark, sf_dir):
     d = accum.tdigest(lineitem(spark, sf_dir), "l_extendedprice", "l_returnflag")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, bounded_sample, stored
+from quillon.llm.common import bounded_sample
 
 PER_CLASS = 4000
 #: Rows and columns of the table of word vectors.
@@ -275,8 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, per
     A quarter of the sample gives the temperature. Labels weigh as in the whole table, not as in the sample.
     """
     vectors = word_vectors(docs if corpus is None else corpus)
-    with Scratch(docs.sparkSession):
-        sample = _sampled(stored(docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels, vectors, per_class)
+    sample = _sampled(docs, labels, vectors, per_class)
     net = Network(2 * WIDTH + 1)
     y = np.array([s[1] for s in sample], float)
     if len(set(y.tolist())) < 2:

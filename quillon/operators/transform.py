@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import special as S
 from quillon.operators.descriptive import _col, clean, present
+from quillon.operators.isotonic import monotone
 from quillon.operators.order import ranked
+from quillon.operators.storage import stored
 
 
 class Ties(Enum):
@@ -93,27 +95,12 @@ def quantile_map(x: str | Column, source, target) -> Column:
     return S.column(mapped, _col(x))
 
 
-def pava(total: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Weighted means made non-decreasing by pooling adjacent violators; places without weight are filled linearly."""
-    have = np.flatnonzero(count > 0)
-    blocks: list[list[float]] = []  # sum, weight, members
-    for i in have:
-        blocks.append([float(total[i]), float(count[i]), 1])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
-            s, w, m = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += w
-            blocks[-1][2] += m
-    level = np.repeat([b[0] / b[1] for b in blocks], [int(b[2]) for b in blocks])
-    return np.interp(np.arange(len(count)), have, level) if len(have) else np.full(len(count), np.nan)
-
-
 def quantile_normalize(df: DataFrame, col: str, row: str, value: str, infinities: Infinities = Infinities.AS_MISSING) -> DataFrame:
     """(col, row, value) with every column given the same distribution: the mean of the sorted columns (Bolstad et al. 2003).
 
     A column with missing entries spreads its m observed values over the n places, one value over all; missing entries stay in place. As extremes, infinities take
-    part in the ranks of their column, stay in place, and are left out of the means. Means run over places, as a table of n rows; only that table meets
-    in one task, to be made monotone where columns are incomplete or hold infinities.
+    part in the ranks of their column, stay in place, and are left out of the means. Means run over places, as a table of n rows, made monotone
+    in windows where columns are incomplete or hold infinities; where no place has a finite value, results are NaN.
     """
     x = F.col(value).cast("double")
     seen = present(value) & ((F.abs(x) != float("inf")) if infinities is Infinities.AS_MISSING else F.lit(True))
@@ -122,6 +109,7 @@ def quantile_normalize(df: DataFrame, col: str, row: str, value: str, infinities
     by = Window.partitionBy(col)
     ranked = ok.withColumn("_i", F.row_number().over(by.orderBy("_x", row)) - 1).withColumn("_m", F.count("*").over(by))
     ranked = ranked.withColumn("_r", F.rank().over(by.orderBy("_x")) - 1 + (F.count("*").over(Window.partitionBy(col, "_x")) - 1) / 2)
+    ranked = stored(ranked)
     # the place of the i-th of m values among n places
     place = F.when(F.col("_m") > 1, F.col("_i") * (n - 1) / F.nullif(F.col("_m") - 1, F.lit(0))).otherwise(F.lit((n - 1) / 2.0))
     infinite = F.abs("_x") == float("inf")
@@ -137,15 +125,8 @@ def quantile_normalize(df: DataFrame, col: str, row: str, value: str, infinities
         last = F.when(alone, n - 1).when(F.col("_p2").isNull(), F.floor("_p")).otherwise(F.ceil("_p2") - 1).cast("long")
         filled = pieces.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").withColumn("_at", F.explode(F.sequence("_first", "_last")))
         y = F.when(alone | (F.col("_at") == F.col("_p")), F.col("_x")).otherwise(F.col("_x") + (F.col("_x2") - F.col("_x")) * (F.col("_at") - F.col("_p")) / (F.col("_p2") - F.col("_p")))
-        sums = filled.withColumn("_y", y).where(~F.isnan("_y") & (F.abs("_y") < float("inf"))).groupBy("_at").agg(F.sum("_y").alias("s"), F.count("*").alias("c"))
-
-        def smooth(t: pa.Table) -> pa.Table:
-            total, count = np.zeros(n), np.zeros(n)
-            i = t.column("_at").to_numpy()
-            total[i], count[i] = t.column("s").to_numpy(), t.column("c").to_numpy()
-            return pa.table({"_at": pa.array(np.arange(n)), "_t": pa.array(pava(total, count))})
-
-        target = sums.groupBy(F.lit(0).alias("_one")).applyInArrow(smooth, "_at long, _t double")
+        sums = filled.withColumn("_y", y).where(~F.isnan("_y") & (F.abs("_y") < float("inf"))).groupBy(F.col("_at").alias("at")).agg(F.sum("_y").alias("s"), F.count("*").alias("c"))
+        target = stored(monotone(sums, n).select(F.col("at").alias("_at"), F.col("fitted").alias("_t")))
     back = F.when(F.col("_m") > 1, F.col("_r") * (n - 1) / F.nullif(F.col("_m") - 1, F.lit(0))).otherwise(F.lit((n - 1) / 2.0))
     spots = ranked.withColumn("_b", back).withColumn("_lo", F.floor("_b").cast("long")).withColumn("_hi", F.ceil("_b").cast("long"))
     lo, hi = target.select(F.col("_at").cast("long").alias("_lo"), F.col("_t").alias("_tl")), target.select(F.col("_at").cast("long").alias("_hi"), F.col("_t").alias("_th"))

@@ -13,6 +13,8 @@ from quillon.operators import density as K
 from quillon.operators import resample as R
 from quillon.operators import rng
 from quillon.operators import transform as T
+from quillon.operators.isotonic import monotone
+from quillon.operators.storage import stored
 from quillon.plans.descriptive import lineitem, rounded
 from quillon.plans.register import Register, betai, gammp, phi
 
@@ -85,6 +87,21 @@ def pit_and_map(spark, sf_dir):
     return df.select("event_id", F.round(T.pit("value", n), 8).alias("u"), F.round(T.quantile_map("value", n, dist.Exponential(1.0)), 5).alias("mapped"))
 
 
+@query("monotone_trend", """
+    WITH d AS (SELECT date_diff('day', TIMESTAMP '1992-01-01', date_trunc('day', o_orderdate)) // 14 AS i, sum(o_totalprice) AS s, count(*)::DOUBLE AS c FROM orders GROUP BY 1),
+    p AS (SELECT i, sum(s) OVER w AS s, sum(c) OVER w AS c, sum(s) OVER w - s AS s0, sum(c) OVER w - c AS c0 FROM d WINDOW w AS (ORDER BY i)),
+    m AS (SELECT a.i AS j, b.i AS k, (b.s - a.s0) / (b.c - a.c0) AS mean FROM p a JOIN p b ON a.i <= b.i),
+    low AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM m)
+    SELECT k AS fortnight, round(max(low), 4) AS trend FROM low GROUP BY k""")
+def monotone_trend(spark, sf_dir):
+    """The rising trend nearest to the mean price of each fortnight's orders; in SQL by the greatest of the least means."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01"))
+    sums = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.floor(day / 14).alias("at")).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("c"))
+    sums = stored(sums)
+    fitted = monotone(sums, sums.agg(F.max("at")).first()[0] + 1)
+    return fitted.join(sums, "at", "left_semi").select(F.col("at").alias("fortnight"), F.round("fitted", 4).alias("trend"))
+
+
 @query("quantile_normalize", """
     WITH m AS (SELECT l_linenumber AS c, l_suppkey AS r, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
     n AS (SELECT count(DISTINCT r) AS n FROM m),

@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 from enum import Enum
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from quillon.operators.errors import DomainError, TooFewObservations
 
 #: Grid points that are broadcast at most.
 LARGEST_GRID = 100_000
+#: Given edges that are broadcast at most.
+LARGEST_EDGES = 5_000_000
 
 
 class Kernel(Enum):
@@ -119,6 +123,23 @@ def rule_bins(rule: Rule, n: int, lo: float, hi: float, sd: float | None, iqr: f
     }[rule]()
 
 
+def _between(values: DataFrame, edges: list[float]) -> DataFrame:
+    """(bin, n): how many values lie in each bin that has any. The sorted edges are broadcast, values find their bin by bisection, and a task sends its counts."""
+    shared = values.sparkSession.sparkContext.broadcast(np.array(edges, float))
+
+    def run(batches):
+        cut = shared.value
+        n = np.zeros(len(cut) - 1, np.int64)
+        for b in batches:
+            x = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            x = x[(x >= cut[0]) & (x <= cut[-1])]
+            np.add.at(n, np.minimum(np.searchsorted(cut, x, "right") - 1, len(n) - 1), 1)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["bin", "n"])
+
+    return values.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
 def histogram_auto(df: DataFrame, value: str, bins: Bins, norm: Norm) -> DataFrame:
     """(bin, lower, upper, value), a row for each bin; the last bin is closed. Values outside given edges are left out."""
     x = clean(value)
@@ -126,6 +147,8 @@ def histogram_auto(df: DataFrame, value: str, bins: Bins, norm: Norm) -> DataFra
         edges = list(bins.edges)
         if len(edges) < 2 or any(not math.isfinite(e) for e in edges) or any(a >= b for a, b in zip(edges, edges[1:], strict=False)):
             raise DomainError("edges must rise and be finite")
+        if len(edges) > LARGEST_EDGES:
+            raise DomainError(f"more than {LARGEST_EDGES} edges; count their ranges in parts")
     else:
         wanted = [F.count(x), F.min(x), F.max(x), F.stddev_samp(x)] + ([F.percentile(x, [0.25, 0.75])] if bins.rule is Rule.FREEDMAN_DIACONIS else [])
         n, lo, hi, sd, *rest = df.agg(*wanted).first()
@@ -139,16 +162,16 @@ def histogram_auto(df: DataFrame, value: str, bins: Bins, norm: Norm) -> DataFra
             k = rule_bins(bins.rule, n, lo, hi, sd, rest[0][1] - rest[0][0] if rest else 0.0)
         if k < 1:
             raise DomainError("needs a bin at least")
-        edges = [lo + i * (hi - lo) / k for i in range(k)] + [hi]
-    k = len(edges) - 1
-    lits = F.array(*(F.lit(float(e)) for e in edges))
+    spark = df.sparkSession
     if bins.edges is None:
-        at = F.least(F.floor((x - edges[0]) / ((edges[-1] - edges[0]) / k)), F.lit(k - 1)).cast("int")
+        step = lambda i: F.lit(lo) + i.cast("double") * (hi - lo) / k
+        at = F.least(F.floor((x - lo) / ((hi - lo) / k)), F.lit(k - 1)).cast("int")
+        counts = df.select(at.alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
+        frame = spark.range(k).select(F.col("id").cast("int").alias("bin"))
+        frame = frame.withColumn("lower", step(F.col("bin"))).withColumn("upper", F.when(F.col("bin") == k - 1, F.lit(hi)).otherwise(step(F.col("bin") + 1)))
     else:
-        at = F.when((x >= edges[0]) & (x <= edges[-1]), F.least(F.size(F.filter(lits, lambda e: e <= x)) - 1, F.lit(k - 1)))
-    counts = df.select(at.alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
-    spark = df.sparkSession
-    frame = spark.range(k).select(F.col("id").cast("int").alias("bin")).withColumn("lower", lits[F.col("bin")]).withColumn("upper", lits[F.col("bin") + 1])
+        counts = _between(df.select(x.alias("x")), edges)
+        frame = spark.createDataFrame(pa.table({"bin": pa.array(range(len(edges) - 1), pa.int32()), "lower": pa.array(edges[:-1], pa.float64()), "upper": pa.array(edges[1:], pa.float64())}))
     out = frame.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
     if norm is Norm.COUNT:
         return out.select("bin", "lower", "upper", F.col("n").alias("value"))

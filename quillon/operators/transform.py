@@ -5,7 +5,6 @@ from __future__ import annotations
 from enum import Enum
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -81,3 +81,10 @@ def _ordinal(rows: DataFrame, order: str, out: str) -> DataFrame:
     table = _offsets(parts, "rows").join(parts, ["_g", "_part"])
     done = dealt_join(numbered, table, ["_g", "_part"], "rows")
     return done.withColumn(out, (F.col("_at") - F.col("_first") + F.col("rows_off") + 1).cast("double")).drop("_part", "_id", "_at", "_first", "rows", "rows_off")
+
+
+def numbered(df: DataFrame, *by: str, out: str = "row") -> DataFrame:
+    """All rows, numbered from 0 in the order of some columns (nulls first), which should tell rows apart: equal ones are numbered in any order, and lie in one range."""
+    rows = df.withColumn("_by", F.struct(*by)).withColumn("_g", F.lit("")).withColumn("_x", F.lit(0.0))
+    done = _ordinal(rows, "_by", "_row").drop("_by", "_g", "_x")
+    return done.select(*(c for c in df.columns if c != out), (F.col("_row") - 1).cast("long").alias(out))

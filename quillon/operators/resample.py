@@ -32,12 +32,14 @@ def resample_indices(scheme: Scheme, n: int, draw: int, seed: int) -> np.ndarray
     """Row numbers of one draw: a Fisher-Yates shuffle, or n bounded integers."""
     if not 0 <= n < 1 << 32:
         raise DomainError("n must fit 32 bits")
-    s = rng.Stream(seed, draw)
     if scheme is Scheme.BOOTSTRAP:
-        return np.array([s.bounded(n) for _ in range(n)], np.uint32)
+        parts, got, at = [np.zeros(0, np.uint32)], 0, 0
+        while got < n:  # as many words again as rows are lacking
+            parts.append(rng.bounded_words(seed, draw, n, at, n - got))
+            at, got = at + n - got, got + len(parts[-1])
+        return np.concatenate(parts)
     out = list(range(n))
-    for i in range(n - 1, 0, -1):
-        j = s.bounded(i + 1)
+    for i, j in zip(range(n - 1, 0, -1), rng.falling_bounds(seed, draw, n).tolist(), strict=True):
         out[i], out[j] = out[j], out[i]
     return np.array(out, np.uint32)
 
@@ -75,7 +77,7 @@ def run_draws(base: DataFrame, value: str, order: str, scheme: Scheme, draws: in
     """(draw, stat): statistic of each resampled sample. The base sample, ordered by a column, is broadcast; past the largest size it is refused."""
     n = base.count()
     if n > largest:
-        raise DomainError(f"a base sample of {n} values isn't broadcast; draw_table joined to it resamples any size")
+        raise DomainError(f"a base sample of {n} values isn't broadcast; bootstrap.resampled takes any size")
     x = base.select(F.col(value).cast("double").alias("x"), order).orderBy(order, "x").toArrow().column("x").to_numpy()
     shared = base.sparkSession.sparkContext.broadcast(x)
 

@@ -47,21 +47,45 @@ def words(seed: int, draws: np.ndarray, tag: int, count: int, start: int = 0) ->
     return out[:, start - 4 * first :][:, :count]
 
 
+def bounded_words(seed: int, draw: int, n: int, start: int, count: int, tag: int = STREAM_TAG_RESAMPLE) -> np.ndarray:
+    """The integers in [0, n) that some words of a draw give (Lemire 2019), n below 2^32. A rejected word gives none; whether it is rejected depends on the word alone."""
+    m = words(seed, np.array([draw & _MASK], U64), tag, count, start)[0].astype(U64) * U64(n)
+    return (m >> U64(32))[(m & U64(0xFFFFFFFF)) >= U64((1 << 32) % n)].astype(U32)
+
+
+def falling_bounds(seed: int, draw: int, n: int, tag: int = STREAM_TAG_RESAMPLE, block: int = 1 << 14) -> np.ndarray:
+    """One integer in [0, b) for each b = n, n - 1, .. 2, from the words of a draw. A rejected word moves the later ones up by a bound."""
+    bounds = np.arange(n, 1, -1, dtype=U64)
+    out, done, at, held = np.empty(len(bounds), U32), 0, 0, np.zeros(0, U64)
+    while done < len(bounds):
+        if not len(held):
+            size = min(block, len(bounds) - done)
+            held = words(seed, np.array([draw & _MASK], U64), tag, size, at)[0].astype(U64)
+            at += size
+        b = bounds[done : done + len(held)]
+        m = held[: len(b)] * b
+        bad = np.flatnonzero((m & U64(0xFFFFFFFF)) < U64(1 << 32) % b)
+        k = int(bad[0]) if len(bad) else len(b)
+        out[done : done + k] = m[:k] >> U64(32)
+        done, held = done + k, held[k + 1 :]
+    return out
+
+
 class Stream:
     """The words of one draw, one after another."""
 
     def __init__(self, seed: int, draw: int, tag: int = STREAM_TAG_RESAMPLE) -> None:
         self.seed, self.draw, self.tag, self.at, self.held = seed, draw, tag, 0, np.zeros(0, U32)
 
-    def next_u32(self) -> int:
-        if self.at >= len(self.held):
-            more = words(self.seed, np.array([self.draw & _MASK], U64), self.tag, max(64, len(self.held)), len(self.held))[0]
+    def fill_u32(self, n: int) -> np.ndarray:
+        if self.at + n > len(self.held):
+            more = words(self.seed, np.array([self.draw & _MASK], U64), self.tag, max(64, len(self.held), n), len(self.held))[0]
             self.held = np.concatenate((self.held, more))
-        self.at += 1
-        return int(self.held[self.at - 1])
+        self.at += n
+        return self.held[self.at - n : self.at]
 
-    def fill_u32(self, n: int) -> np.ndarray:
-        return np.array([self.next_u32() for _ in range(n)], U32)
+    def next_u32(self) -> int:
+        return int(self.fill_u32(1)[0])
 
     def bounded(self, n: int) -> int:
         """An unbiased integer in [0, n) (Lemire 2019)."""

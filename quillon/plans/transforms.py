@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import dist
 from quillon.functions import special as S
+from quillon.operators import bootstrap as B
 from quillon.operators import density as K
 from quillon.operators import resample as R
 from quillon.operators import rng
@@ -16,7 +17,7 @@ from quillon.operators import transform as T
 from quillon.operators.isotonic import monotone
 from quillon.operators.storage import stored
 from quillon.plans.descriptive import lineitem, rounded
-from quillon.plans.register import Register, betai, gammp, phi
+from quillon.plans.register import Register, betai, bootstrap_rows, gammp, phi
 
 query = Register()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -214,11 +215,28 @@ def resample_known_answers(spark, sf_dir):
     return p.join(b, "pos").join(s, "pos")
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", f"""
+WITH base AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_custkey, c_acctbal) - 1 AS place FROM customer),
+drawn AS ({bootstrap_rows(11, rng.STREAM_TAG_RESAMPLE, 400, "(SELECT count(*) FROM base)")}),
+stats AS (SELECT draw, avg(x) AS stat FROM drawn JOIN base ON place = drawn GROUP BY draw)
+SELECT count(*) AS draws, round(quantile_cont(stat, 0.025), 6) AS lower, round(quantile_cont(stat, 0.975), 6) AS upper FROM stats""")
 def bootstrap_interval(spark, sf_dir):
     """The 95 % percentile interval of the mean balance, over 400 draws."""
     draws = R.run_draws(_customers(spark, sf_dir), "c_acctbal", "c_custkey", R.Scheme.BOOTSTRAP, 400, 11, lambda x: float(np.mean(x)))
-    return draws.agg(F.count("*").alias("draws"), R.boot_interval("stat", 0.95).alias("ci")).select("draws", F.col("ci")[0].alias("lower"), F.col("ci")[1].alias("upper"))
+    return rounded(draws.agg(F.count("*").alias("draws"), R.boot_interval("stat", 0.95).alias("ci")).select("draws", F.col("ci")[0].alias("lower"), F.col("ci")[1].alias("upper")))
+
+
+@query("bootstrap_lineitem", f"""
+WITH base AS (SELECT l_quantity, l_orderkey, round(l_extendedprice * 100)::BIGINT AS cents, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS place FROM lineitem),
+drawn AS ({bootstrap_rows(2024, rng.STREAM_TAG_RESAMPLE, 12, "(SELECT count(*) FROM base)")})
+SELECT draw, count(*) AS n, count(DISTINCT place) AS n_rows, sum(l_quantity)::DOUBLE AS quantity, sum(cents)::BIGINT AS cents, sum((pos % 1009) * (l_orderkey % 1013))::BIGINT AS in_order
+FROM drawn JOIN base ON place = drawn GROUP BY draw""")
+def bootstrap_lineitem(spark, sf_dir):
+    """Totals of twelve bootstrap draws of all rows of lineitem; in_order depends on what stands where."""
+    by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    base = lineitem(spark, sf_dir).select(*by, "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    totals = [F.count("*").alias("n"), F.countDistinct(*by).alias("n_rows"), F.sum("l_quantity").cast("double").alias("quantity"), F.sum("cents").alias("cents")]
+    return B.bootstrap(base, by, 12, 2024, *totals, F.sum((F.col("_pos") % 1009) * (F.col("l_orderkey") % 1013)).alias("in_order"))
 
 
 @query("permutation_p")

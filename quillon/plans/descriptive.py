@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import accum, select
+from quillon.operators import accum, exact, select
 from quillon.operators import descriptive as D
 from quillon.plans.register import Register
 
@@ -80,6 +80,16 @@ def exact_sum(spark, sf_dir):
     return rounded(accum.exact_sum(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_acctbal", "c_mktsegment"), 4)
 
 
+@query("two_pass_variance", """
+    SELECT l_returnflag, l_linenumber, n, round(v.mean, 6) AS mean, round(fsum((x - mean) * (x - mean)) / (n - 1), 2) AS var
+    FROM (SELECT l_returnflag, l_linenumber, l_extendedprice + 1e7 AS x, count(*) OVER g AS n, fsum(l_extendedprice + 1e7) OVER g / count(*) OVER g AS mean FROM lineitem WINDOW g AS (PARTITION BY l_returnflag, l_linenumber)) AS v
+    GROUP BY l_returnflag, l_linenumber, n, v.mean""")
+def two_pass_variance(spark, sf_dir):
+    """Variances of prices far from zero, from exact sums."""
+    found = exact.two_pass(lineitem(spark, sf_dir).withColumn("x", F.col("l_extendedprice") + 1e7), "x", "l_returnflag", "l_linenumber")
+    return found.select("l_returnflag", "l_linenumber", "n", F.round("mean", 6).alias("mean"), F.round("var", 2).alias("var"))
+
+
 @query("histogram_fixed", """
     WITH b AS (SELECT l_returnflag, CASE WHEN l_quantity < 5 THEN -1 WHEN l_quantity > 45 THEN 8 ELSE least(floor((l_quantity - 5) / 5.0), 7) END::INT AS b FROM lineitem),
     g AS (SELECT l_returnflag, unnest(range(0, 8)) AS bin FROM (SELECT DISTINCT l_returnflag FROM lineitem))

@@ -41,12 +41,12 @@ def _cut(rows: DataFrame) -> DataFrame:
 def states(df: DataFrame, value: str | Column, *keys: str) -> DataFrame:
     """_g (a text for the group) and a row of sums for each _k that its values have; _odd is what the values that aren't finite add up to, else null."""
     rows = df.where(present(value)).select(group_key(keys).alias("_g"), clean(value).alias("_x"))
-    return _states(rows)
+    return _states(rows, "_g")
 
 
-def _states(rows: DataFrame) -> DataFrame:
+def _states(rows: DataFrame, *by: str) -> DataFrame:
     halves = [f for c in ("_a", "_b", "_c") for f in (F.sum(F.shiftright(c, 16)).alias(f"{c}h"), F.sum(F.col(c).bitwiseAND(F.lit(65535))).alias(f"{c}l"))]
-    return _cut(rows).groupBy("_g", "_k").agg(F.count("*").alias("_n"), F.sum(F.when(F.abs("_x") == float("inf"), F.col("_x"))).alias("_odd"), *halves)
+    return _cut(rows).groupBy(*by, "_k").agg(F.count("*").alias("_n"), F.sum(F.when(F.abs("_x") == float("inf"), F.col("_x"))).alias("_odd"), *halves)
 
 
 def roll_up(parts: DataFrame) -> DataFrame:
@@ -81,15 +81,16 @@ def _rounded(digits: Column) -> Column:
     return F.aggregate(digits, start, step, finish)
 
 
-def finish(parts: DataFrame) -> DataFrame:
-    """_g, n, sum: the correctly rounded sum of each group; infinite or NaN where values aren't finite, infinite where it overflows."""
+def finish(parts: DataFrame, *by: str) -> DataFrame:
+    """The group (_g, or the columns by that the states have), n, sum: the correctly rounded sum of each group; infinite or NaN where values aren't finite, infinite where it overflows."""
+    by = by or ("_g",)
     place = F.posexplode(F.array(*(F.coalesce(c, F.lit(0).cast("long")) for c in ("_cl", "_ch", "_bl", "_bh", "_al", "_ah"))))
-    placed = parts.select("_g", F.coalesce("_k", F.lit(0).cast("long")).alias("_k"), "_n", "_odd", place.alias("_p", "_v"))
+    placed = parts.select(*by, F.coalesce("_k", F.lit(0).cast("long")).alias("_k"), "_n", "_odd", place.alias("_p", "_v"))
     first = F.col("_p") == 0
-    digits = placed.groupBy("_g", (2 * (F.col("_k") - 2) + F.col("_p")).alias("i")).agg(F.sum("_v").alias("v"), F.sum(F.when(first, F.col("_n"))).alias("_n"), F.sum(F.when(first, F.col("_odd"))).alias("_odd"))
-    whole = digits.groupBy("_g").agg(F.sum("_n").alias("n"), F.sum("_odd").alias("_odd"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m"))  # 140 entries at most
+    digits = placed.groupBy(*by, (2 * (F.col("_k") - 2) + F.col("_p")).alias("i")).agg(F.sum("_v").alias("v"), F.sum(F.when(first, F.col("_n"))).alias("_n"), F.sum(F.when(first, F.col("_odd"))).alias("_odd"))
+    whole = digits.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_odd").alias("_odd"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m"))  # 140 entries at most
     dense = F.transform(F.sequence(F.lit(_LOWEST).cast("long"), F.lit(_HIGHEST).cast("long")), lambda i: F.struct(i.alias("i"), F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0).cast("long")).alias("v")))
-    return whole.select("_g", "n", F.coalesce("_odd", _rounded(dense)).alias("sum"))
+    return whole.select(*by, "n", F.coalesce("_odd", _rounded(dense)).alias("sum"))
 
 
 def _keyed(found: DataFrame, df: DataFrame, keys: tuple[str, ...], *cols: str) -> DataFrame:
@@ -110,13 +111,12 @@ def two_pass(df: DataFrame, value: str | Column, *keys: str) -> DataFrame:
     var is null under two values, NaN where a value isn't finite. Rows find their mean by a join in which frequent groups are broadcast.
     """
     rows = df.where(present(value)).select(group_key(keys).alias("_g"), clean(value).alias("_x"))
-    table = stored(finish(_states(rows)).select("_g", F.col("n").alias("_n"), (F.col("sum") / F.col("n")).alias("_mean")))
-    apart = dealt_join(rows, table, ["_g"], "_n").select("_g", (F.col("_x") - F.col("_mean")).alias("_d"))
-    # F.isnan differences stand for infinities: the mean isn't finite
-    line = apart.select("_g", F.explode(F.array(F.struct(F.lit(1).alias("_w"), F.col("_d").alias("_x")), F.struct(F.lit(2).alias("_w"), (F.col("_d") * F.col("_d")).alias("_x")))).alias("_e"))
-    both = finish(_states(line.select(F.to_json(F.struct("_g", "_e._w")).alias("_g"), "_e._x")))
-    both = both.withColumn("_s", F.from_json("_g", "_g string, _w int")).groupBy(F.col("_s._g").alias("_g")).agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("_s._w") == 1, F.col("sum"))).alias("_d"), F.max(F.when(F.col("_s._w") == 2, F.col("sum"))).alias("_q"))
+    table = stored(finish(_states(rows, "_g")).select("_g", F.col("n").alias("_n"), (F.col("sum") / F.col("n")).alias("_mean")))
+    d = F.col("_x") - F.col("_mean")
+    pair = F.array(F.struct(F.lit(1).alias("_w"), d.alias("_x")), F.struct(F.lit(2).alias("_w"), (d * d).alias("_x")))
+    line = dealt_join(rows, table, ["_g"], "_n").select("_g", F.explode(pair).alias("_e")).select("_g", "_e._w", "_e._x")
+    found = finish(_states(line, "_g", "_w"), "_g", "_w")
+    both = found.groupBy("_g").agg(F.max("n").alias("n"), F.max(F.when(F.col("_w") == 1, F.col("sum"))).alias("_d"), F.max(F.when(F.col("_w") == 2, F.col("sum"))).alias("_q"))
     done = both.join(table.select("_g", "_mean"), "_g")
     n = F.col("n")
     var = F.when(n > 1, F.greatest((F.col("_q") - F.col("_d") * F.col("_d") / n) / (n - 1), F.lit(0.0)))

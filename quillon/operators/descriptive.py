@@ -132,3 +132,23 @@ def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
             same = same & F.col(k).eqNullSafe(F.col(f"_q{i}"))
         both = both.join(q if keys else F.broadcast(q), same, "left")  # without keys, one row
     return both.select(*keys, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "mean", "sd", "skewness", "kurtosis")
+
+
+def logsumexp(df: DataFrame, value: str | Column, *keys: str) -> DataFrame:
+    """keys, lse: ln of the sum of exp of each group's values, in one pass over the rows and without a join; no keys give one row.
+
+    Values are summed by cells 512 wide, from the cell's middle; the highest cell and what the one below adds to it decide, any other is below 1e-200 of the sum.
+    Nulls are left out. Where nothing but -inf, NaN or null is left, or no rows, the result is -inf; beside other values NaN makes it NaN, and so does inf.
+    """
+    x = _col(value).cast("double")
+    finite = F.abs(x) < float("inf")  # NaN is greater than any number here
+    cell = F.when(finite, F.rint(x / 512))
+    cells = df.select(*keys, x.alias("_x"), cell.alias("_c")).groupBy(*keys, "_c").agg(
+        F.sum(F.exp(F.col("_x") - 512 * F.col("_c"))).alias("_s"), F.coalesce(F.max(F.isnan("_x")), F.lit(False)).alias("_nan"), F.coalesce(F.max(F.col("_x") == float("inf")), F.lit(False)).alias("_inf"))
+    pair = F.array(F.struct(F.col("_c").alias("_t"), F.col("_s").alias("_v"), F.lit(True).alias("_own")), F.struct((F.col("_c") + 1).alias("_t"), (F.col("_s") * F.exp(F.lit(-512.0))).alias("_v"), F.lit(False).alias("_own")))
+    near = cells.select(*keys, "_nan", "_inf", F.explode(pair).alias("_p")).groupBy(*keys, F.col("_p._t").alias("_t")).agg(
+        F.sum("_p._v").alias("_v"), F.max("_p._own").alias("_own"), F.max("_nan").alias("_nan"), F.max("_inf").alias("_inf"))
+    top = F.max(F.when(F.col("_own") & F.col("_t").isNotNull(), F.struct("_t", "_v"))).alias("_top")
+    found = near.groupBy(*keys).agg(top, F.coalesce(F.max("_nan"), F.lit(False)).alias("_nan"), F.coalesce(F.max("_inf"), F.lit(False)).alias("_inf"))
+    lse = F.when(F.col("_top").isNull() & ~F.col("_inf"), float("-inf")).when(F.col("_nan") | F.col("_inf"), float("nan")).otherwise(F.log("_top._v") + 512 * F.col("_top._t"))
+    return found.select(*keys, lse.alias("lse"))

@@ -11,6 +11,7 @@ from quillon.functions import dist
 from quillon.functions import special as S
 from quillon.operators import bootstrap as B
 from quillon.operators import density as K
+from quillon.operators import descriptive as D
 from quillon.operators import resample as R
 from quillon.operators import rng
 from quillon.operators import transform as T
@@ -192,11 +193,8 @@ def digamma(spark, sf_dir):
 
 @query("logsumexp", "SELECT l_returnflag, round(max(l_quantity) + ln(sum(exp(l_quantity - 50)) / exp(max(l_quantity) - 50)), 8) AS lse FROM lineitem GROUP BY 1")
 def logsumexp(spark, sf_dir):
-    """ln sum exp by two aggregations: the greatest value first."""
-    df = lineitem(spark, sf_dir)
-    top = df.groupBy("l_returnflag").agg(F.max("l_quantity").alias("m"))
-    j = df.join(F.broadcast(top), "l_returnflag")  # one row for each flag
-    return j.groupBy("l_returnflag").agg(F.round(F.max("m") + F.log(F.sum(F.exp(F.col("l_quantity") - F.col("m")))), 8).alias("lse"))
+    """ln sum exp of each flag's quantities."""
+    return D.logsumexp(lineitem(spark, sf_dir), "l_quantity", "l_returnflag").select("l_returnflag", F.round("lse", 8).alias("lse"))
 
 
 @query("resample_permutation", "SELECT d AS draw, 50 AS n, 1225.0::DOUBLE AS total FROM (SELECT unnest(range(0, 40)) AS d)")

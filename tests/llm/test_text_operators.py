@@ -432,6 +432,11 @@ def shingle_set(t):
     return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
 
 
+def shingle_list(t):
+    ws = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    return [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+
+
 def edited_words(t, k, seed):
     r, ws = random.Random(seed), t.split()
     for i in r.sample(range(len(ws)), k):
@@ -480,6 +485,39 @@ def test_near_copies_in_a_hot_group(spark):
     assert got == {i: 0 if i < 200 else i for i, _ in rows}
 
 
+def test_real_idf_decides_links(spark):
+    """Pairs that share rare words but not their frequent notices are alike by weight only; copies of a text don't count twice. All pairs against brute force."""
+    notices = [words(20, 900 + i) for i in range(2)]
+    rows = [(i, words(140, i) + " " + notices[i % 2]) for i in range(24)]
+    rows += [(50 + i, words(140, i) + " " + notices[1 - i % 2]) for i in range(4)]  # the same, with the other notice
+    rows += [(60 + k, edited_words(rows[10 + k][1], e, 5000 + k)) for k, e in enumerate((2, 4, 5, 6, 7, 8, 9, 10, 12))]
+    rows += [(100 + i, words(60, 2000 + i)) for i in range(560)] + [(1000 + i, rows[1][1]) for i in range(200)]
+    df = docs(spark, rows).repartition(6)
+    texts = {t for _, t in rows}
+    counts = collections.Counter(s for t in texts for s in shingle_set(t))
+    assert len(counts) > 1 and max(counts.values()) * 20 < len(texts)  # all below one text in twenty
+    idf = {s: math.log(1 + len(texts) / c) for s, c in counts.items()}
+
+    def weighted(a, b):
+        x, y = ({s: t * idf[s] for s, t in collections.Counter(shingle_list(v)).items()} for v in (a, b))
+        return sum(min(x[s], y[s]) for s in x.keys() & y.keys()) / sum(max(x.get(s, 0), y.get(s, 0)) for s in x.keys() | y.keys())
+
+    first = {t: i for i, t in sorted(((i, t) for i, t in rows), reverse=True)}
+    items = sorted((i, t) for t, i in first.items() if i < 100)
+    for plain in (False, True):
+        root = {i: i for i, _ in items}
+        for x, (a, ta) in enumerate(items):
+            for b, tb in items[x + 1 :]:
+                if weighted(ta, tb) >= 0.8 or plain and jaccard(shingle_set(ta), shingle_set(tb)) >= 0.8:
+                    old, own = max(root[a], root[b]), min(root[a], root[b])
+                    root = {k: own if v == old else v for k, v in root.items()}
+        got = {r.id: r.class_id for r in neardup.classes(df, plain=plain).collect()}
+        assert {i: got[i] for i in root} == root and all(got[1000 + i] == got[1] for i in range(200))
+        assert all(root[50 + i] == i and jaccard(shingle_set(rows[i][1]), shingle_set(rows[24 + i][1])) < 0.79 for i in range(4))
+    w = neardup.weights(df)
+    assert w.n == len(texts) and sorted(w.df.tolist()) == sorted(c for c in counts.values() if c > 1)
+
+
 def test_clip_does_not_depend_on_size(spark):
     """Over a million shingles above the clip keep their frequencies."""
     n = 1_000_100

@@ -187,7 +187,10 @@ def _states(seed: int) -> np.ndarray:
     """r, ln c and b of every state, once in a worker."""
     g = np.random.Generator(np.random.PCG64(seed))
     size = 1 << STATES
-    return np.stack((g.gamma(2.0, 1.0, size), np.log(g.gamma(2.0, 1.0, size)), g.random(size)), 1).astype(np.float32)
+    out = np.empty((size, 3), np.float32)
+    for x in np.split(out, 16):  # in parts: a worker keeps what it once took
+        x[:, 0], x[:, 1], x[:, 2] = g.gamma(2.0, 1.0, len(x)), np.log(g.gamma(2.0, 1.0, len(x))), g.random(len(x))
+    return out
 
 
 class Sampler:
@@ -197,8 +200,10 @@ class Sampler:
         self.states = _states(seed)
         self.odd = np.random.Generator(np.random.PCG64(seed + 1)).integers(0, 1 << 63, SAMPLES, dtype=U) * U(2) + U(1)
         self.common = common
-        at = np.arange(1 << STATES)
-        self.table = np.concatenate([self.values(np.full(len(x), math.log(common)), x) for x in np.split(at, 16)])
+        self.table = np.empty(1 << STATES, U)
+        part = 1 << STATES - 4
+        for lo in range(0, 1 << STATES, part):
+            self.table[lo : lo + part] = self.values(np.full(part, math.log(common)), np.arange(lo, lo + part))
 
     def values(self, ln_w: np.ndarray, state: np.ndarray) -> np.ndarray:
         """The sampling value in the upper half, the level mixed in the lower half."""

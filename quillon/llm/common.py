@@ -57,7 +57,17 @@ class Scratch:
         self.kept.add(_stored[-1])
         return out
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Store rows whose table outlives the block, and delete what else was stored in it so far."""
+        out = stored(df)
+        self.kept = {_stored[-1]}
+        self.clear()
+        return out
+
     def __exit__(self, *_) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         jvm = self.spark._jvm
         for path in [p for p in _stored[self.first :] if p not in self.kept]:
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import hashing, links
-from quillon.llm.common import dealt_join, stored
+from quillon.llm.common import Scratch, dealt_join, stored
 
 U = np.uint64
 #: Characters of a shingle, a power of two.
@@ -223,8 +223,12 @@ def _small(df: DataFrame, count: int | None = None):
 
 def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: float = REACH) -> DataFrame:
     """(_line_id, _line_doc, _line_gone): for each document that loses lines, its id, the md5 of its text, and the numbers of the lines."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_doomed(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), reach))
+
+
+def _doomed(rows: DataFrame, reach: float) -> DataFrame:
+    spark = rows.sparkSession
     shard_bits = min(20, max(6, math.ceil(math.log2(max(1, rows.count() / DOCS_PER_SHARD)))))
     marked = stored(rows.mapInArrow(_marker(shard_bits), "id long, doc string, lines array<binary>, shard int, pairs binary"))
     packed = marked.where("shard IS NOT NULL").select("shard", "pairs")
@@ -238,7 +242,7 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
         bodies = rows.select("text").mapInArrow(_fetcher(None), "id long, line string").join(wanted, "id", "left_semi")
     bodies = stored(bodies.dropDuplicates(["id"]).select("id", F.col("line").alias("body")))
 
-    roots = stored(links.components(links.linked(members, bodies, _verifier, _features, reach)))
+    roots = links.components(links.linked(members, bodies, _verifier, _features, reach))
     places = marked.where("shard IS NULL").select("id", "doc", F.posexplode("lines").alias("at", "name")).where("name IS NOT NULL")
     number = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")
     place = F.struct("id", "doc", "at")
@@ -251,7 +255,7 @@ def doomed(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: floa
     found = stored(dealt_join(places, many, ["name"], "n").select("id", "doc", "at", "own"))
     stays = stored(found.groupBy("own").agg(F.min(place).alias("stays"), F.count("*").alias("n")))
     gone = dealt_join(found, stays, ["own"], "n").where(place != F.col("stays"))
-    return stored(gone.groupBy(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.sort_array(F.collect_set("at")).alias("_line_gone")))
+    return gone.groupBy(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.sort_array(F.collect_set("at")).alias("_line_gone"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: float = REACH, counts: bool = False) -> DataFrame:

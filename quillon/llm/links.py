@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import dealt_join, stored
+from quillon.llm.common import Scratch, dealt_join, stored
 
 #: Members of a bucket for each copy of its leader's body.
 SALT_ROWS = 2000
@@ -36,7 +36,12 @@ SPREAD, ROUNDS = 4, 6
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(id, root) of every node of an undirected edge table (a, b): root is the least id of its component."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    with Scratch(edges.sparkSession) as scratch:
+        return scratch.only(_components(edges, most, scratch))
+
+
+def _components(edges: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    now = scratch.only(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,7 +49,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small)
+        now = scratch.only(small)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (got["n"], got["h"]):
             break
@@ -148,10 +153,6 @@ def _checked(pairs: DataFrame, bodies: DataFrame, verify) -> DataFrame:
     return dealt.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long, similarity double")
 
 
-def _rooted(edges: DataFrame) -> DataFrame:
-    return stored(components(edges))
-
-
 def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, reach: float) -> DataFrame:
     """(a, b): verified links, among them enough for complete components of all items.
 
@@ -159,11 +160,16 @@ def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, re
     gives a, b, similarity. features: of an Arrow column of bodies, the distinct features (row, hash, weight), rows in order, hashes rising in a row.
     reach: the least similarity of a link.
     """
+    with Scratch(members.sparkSession) as scratch:
+        return scratch.keep(_linked(members, bodies, verify, features, reach))
+
+
+def _linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, reach: float) -> DataFrame:
     within = 1 - reach
     leaders = stored(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")))
     star = stored(dealt_join(members, leaders, ["bucket"], "n").where("id <> leader"))
     checked = stored(_checked(star.select(F.col("leader").alias("a"), F.col("id").alias("b"), "n"), bodies, verify))
-    roots = _rooted(checked.where(F.col("similarity") >= reach).select("a", "b"))
+    roots = components(checked.where(F.col("similarity") >= reach).select("a", "b"))
     far = checked.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("distance"))
     # buckets in which a member is out of reach of the leader
     open_ = stored(star.join(far, ["leader", "id"]).select("bucket", "id", "distance"))
@@ -192,13 +198,13 @@ def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, re
         elected = stored(elected.select("bucket", F.col("e.first.id").alias("leader"), F.col("e.first.distance").alias("at"), F.col("e.root").alias("own")).join(main.select("bucket", "n"), "bucket"))
         rest = dealt_join(parted.select("bucket", "id", "distance", "root"), elected, ["bucket"], "n").where((F.col("root") != F.col("own")) & (F.abs(F.col("distance") - F.col("at")) <= within + 1e-9))
         again = _checked(rest.select(F.col("leader").alias("a"), F.col("id").alias("b"), "n"), bodies, verify).where(F.col("similarity") >= reach)
-        roots = _rooted(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(again.select("a", "b")))
+        roots = components(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(again.select("a", "b")))
 
     joined = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     whole = parted.where(F.col("n") <= SMALL).select("bucket", "id", "root", "distance", F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-few // PACK)))).alias("pack"))
     found = joined.unionByName(whole.join(bodies.select("id", "body"), "id").groupBy("pack").applyInArrow(_packed(features, reach), "a long, b long"))
     if not work:
-        return stored(found)
+        return found
     pairs = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_i") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks_j") - 1)))
     self_ = F.col("minor_j") & (F.col("cell_i") == F.col("cell_j"))
     group = ["bucket", "cell_i", "i", "minor_j", "cell_j", "j"]
@@ -208,4 +214,4 @@ def linked(members: DataFrame, bodies: DataFrame, verify: Callable, features, re
     blocks = large.select("bucket", "minor", "cell", "blocks", "k")
     items = dealt_join(parted.drop("n"), stored(blocks), ["bucket", "minor", "cell"], "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = one.unionByName(two).join(items, ["bucket", "minor", "cell", "block"]).select(*group, "side", "id", "root", "distance").join(bodies.select("id", "body"), "id")
-    return stored(found.unionByName(dealt.groupBy(*group).applyInArrow(_within(features, reach), "a long, b long")))
+    return found.unionByName(dealt.groupBy(*group).applyInArrow(_within(features, reach), "a long, b long"))

@@ -549,6 +549,16 @@ def test_links_between_members_of_a_bucket_that_miss_the_leader(spark, monkeypat
         assert got == {i: 1 for i in range(1, 40)}
 
 
+def test_only_tables_of_results_stay_stored(spark):
+    """Of what line and near dedup and components store on their way, only the table that the result reads is left, and it can be read."""
+    df = docs(spark, [(i, words(60, i // 2) + ("\n" + words(40, i) if i % 2 else "")) for i in range(12)])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    for run, rows in ((lambda: lines.dedup_lines(df), 12), (lambda: neardup.classes(df), 12), (lambda: neardup.one_of_each(df), 12), (lambda: links.components(edges), 5)):
+        before = list(common._stored)
+        out = run()
+        assert common._stored[:-1] == before and out.count() == rows
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(35)] + [(200, 200), (300, 301), (301, 300)]

@@ -167,6 +167,13 @@ def _crowded(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "id": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
 
 
+def _among(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(numbers), bool)
+    return table[np.minimum(np.searchsorted(table, numbers), len(table) - 1)] == numbers
+
+
 def _fetcher(shared):
     """Of texts: (id, line) of the lines asked for, or of all, each once in a task (or in SEEN lines)."""
 
@@ -176,11 +183,14 @@ def _fetcher(shared):
         for b in batches:
             ids, lines = [], []
             for text in b.column(0):
-                for line in (text.as_py() or "").split("\n"):
-                    if line and (number := int.from_bytes(name(line)[:8], "big", signed=True)) not in seen and (wanted is None or number in wanted):
+                own = [line for line in (text.as_py() or "").split("\n") if line]
+                numbers = np.frombuffer(b"".join(name(line)[:8] for line in own), ">i8").astype(np.int64)
+                asked = range(len(own)) if wanted is None else np.flatnonzero(_among(wanted, numbers)).tolist()
+                for i in asked:
+                    if (number := int(numbers[i])) not in seen:
                         seen.add(number)
                         ids.append(number)
-                        lines.append(normal(line))
+                        lines.append(normal(own[i]))
             if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
@@ -236,7 +246,7 @@ def _doomed(rows: DataFrame, reach: float) -> DataFrame:
     wanted = stored(members.select("id").distinct())
     n = wanted.count()
     if n <= BROADCAST:
-        shared = spark.sparkContext.broadcast(frozenset(wanted.toArrow().column("id").to_pylist()))
+        shared = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column("id").to_numpy()))
         bodies = rows.select("text").mapInArrow(_fetcher(shared), "id long, line string")
     else:
         bodies = rows.select("text").mapInArrow(_fetcher(None), "id long, line string").join(wanted, "id", "left_semi")

@@ -40,20 +40,24 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         return scratch.only(_components(edges, most, scratch))
 
 
+def _settled(now: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: each v is then the root of its component, as it is less than every u."""
+    ends = now.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0]
+
+
 def _components(edges: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     now = scratch.only(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
     for _ in range(most):
+        if _settled(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a row for each edge at most; rows that stand twice go at the round's end
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.only(small)
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (got["n"], got["h"]):
-            break
-        mark = (got["n"], got["h"])
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

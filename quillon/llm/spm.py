@@ -41,8 +41,8 @@ CACHE = 700_000
 PAIRS = 2_000_000
 #: Longest run of characters, in bytes, that is kept in the cache.
 KEPT = 64
-#: Bytes of text that are encoded together: the more, the more prefixes are shared.
-CHUNK = 4 << 20
+#: Bytes of text that are encoded together; the arrays of the pass take many times as much, and a worker keeps what it once took.
+CHUNK = 1 << 20
 #: Sets the first word of a text, which gets a mark of its own, apart from the same bytes elsewhere.
 FIRST = np.uint64(0xA24BAED4963EE407)
 #: Kinds of characters: spaces, characters of the vocabulary, others, literal marks.

@@ -645,3 +645,38 @@ def test_word_hashes_do_not_depend_on_place():
     row, h = hashing.word_hashes(data, offsets)
     assert row.tolist() == [0, 0, 0, 1, 1, 1, 3, 3, 4, 4]
     assert h[0] == h[5] and h[1] == h[4] == h[7] == h[9] and len(set(h.tolist())) == 5
+
+
+def test_settled_components_take_no_round(spark, monkeypatch):
+    """Edges that are stars around their least ids are stored once and tested; other graphs still end in stars."""
+    kept = []
+    monkeypatch.setattr(common.Scratch, "only", lambda self, df, f=common.Scratch.only: (kept.append(1), f(self, df))[1])
+    stars = [(10, 1), (11, 1), (1, 12), (20, 2), (2, 20), (21, 2), (3, 3)]
+    assert {x.id: x.root for x in links.components(spark.createDataFrame(stars, "a long, b long")).collect()} == {1: 1, 10: 1, 11: 1, 12: 1, 2: 2, 20: 2, 21: 2}
+    assert len(kept) == 2  # the edges and the result
+    path = [(i, i + 1) for i in range(30)] + [(40, 50), (41, 50), (41, 60)]
+    assert {x.id: x.root for x in links.components(spark.createDataFrame(path, "a long, b long")).collect()} == dict.fromkeys(range(31), 0) | dict.fromkeys((40, 41, 50, 60), 40)
+    assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lines_asked_for_are_sent_as_eight_bytes_each(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(lines, "_fetcher", lambda shared, f=lines._fetcher: (sent.append(shared.value), f(shared))[1])
+    texts = [words(60, 5) + "\n\n" + words(60, 6), words(60, 6) + "\n" + words(60, 7), "", None, words(60, 5) + "x"]
+    got = lines.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)).collect()
+    assert {r.doc_id: r.text for r in got} == {0: texts[0], 1: words(60, 7), 2: "", 3: None, 4: ""}
+    assert len(sent) == 1 and isinstance(sent[0], np.ndarray) and sent[0].nbytes == 8 * len(sent[0]) and len(sent[0]) >= 2
+
+
+def test_encoding_takes_memory_by_chunk():
+    """A large batch is encoded in parts, so what the arrays of a pass take doesn't grow with the batch."""
+    import tracemalloc
+
+    text = pa.array([words(2000, i % 7) for i in range(600)])
+    encoder = spm.Encoder(spm.load())
+    encoder.arrow(text.slice(0, 10))
+    tracemalloc.start()
+    encoder.arrow(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.nbytes > 6e6 and peak < 100e6, (text.nbytes, peak)

@@ -25,6 +25,8 @@ BLOCK = 1 << 16
 BLOCKS_A_TASK = 32
 #: Standard deviations of the number of rejected words that are read beyond the expected number. If they don't suffice, twice as many words are read.
 SPARE = 12.0
+#: Drawn rows that a task joins, about.
+DRAWN_A_TASK = 1 << 20
 
 
 def _kept(table: DataFrame, n: int, seed: int, block: int) -> DataFrame:
@@ -74,11 +76,11 @@ def drawn_rows(spark: SparkSession, n: int, draws: int, seed: int, block: int =
     return dealt.mapInArrow(run, "_draw long, _pos long, _row long")
 
 
-def resampled(base: DataFrame, by: list[str], draws: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """The base's columns with _draw and _pos: every draw's rows, taken with replacement from the rows in the order of the columns by.
+def _joined(base: DataFrame, by: list[str], draws: int, seed: int, block: int) -> DataFrame:
+    """resampled, with the number of the row as _row. The rows of a number lie in one partition, of all draws.
 
-    Rows are joined by their number; each is drawn about once a draw, so no key is hot. A base of no rows is an error. Nulls in any column are kept; equal
-    rows are rows of their own. Columns named _draw, _pos, _row, _by, _g, _x, _id, _at, _part, _first, rows or rows_off aren't allowed in the base.
+    Spark takes the drawn rows for as small as the table of blocks that they are made from, and would broadcast them; the hint has it shuffle both sides. What a task
+    joins stays of one size.
     """
     clash = {"_draw", "_pos", "_row", "_by", "_g", "_x", "_id", "_at", "_part", "_first", "rows", "rows_off"} & {c.lower() for c in base.columns}
     if clash:
@@ -87,10 +89,20 @@ def resampled(base: DataFrame, by: list[str], draws: int, seed: int, block: int
     n = rows.count()
     if not n:
         raise TooFewObservations(1, 0)
-    return drawn_rows(base.sparkSession, n, draws, seed, block).join(rows, "_row").drop("_row")
+    drawn = drawn_rows(base.sparkSession, n, draws, seed, block).repartition(max(1, draws * n // DRAWN_A_TASK), "_row")
+    return drawn.join(rows.hint("shuffle_hash"), "_row")
+
+
+def resampled(base: DataFrame, by: list[str], draws: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """The base's columns with _draw and _pos: every draw's rows, taken with replacement from the rows in the order of the columns by.
+
+    Rows are joined by their number; each is drawn about once a draw, so no key is hot. A base of no rows is an error. Nulls in any column are kept; equal
+    rows are rows of their own. Columns named _draw, _pos, _row, _by, _g, _x, _id, _at, _part, _first, rows or rows_off aren't allowed in the base.
+    """
+    return _joined(base, by, draws, seed, block).drop("_row")
 
 
 def bootstrap(base: DataFrame, by: list[str], draws: int, seed: int, *statistics: Column, block: int = BLOCK) -> DataFrame:
-    """draw and the statistics, which are aggregates of the base's columns, of every draw. Spark sums up in each task before it shuffles."""
-    done = resampled(base, by, draws, seed, block).groupBy("_draw").agg(*statistics)
+    """draw and the statistics, which are aggregates of the base's columns, _pos and _row (a row's number in the base), of every draw. Spark sums up in each task before it shuffles."""
+    done = _joined(base, by, draws, seed, block).groupBy("_draw").agg(*statistics)
     return done.select(F.col("_draw").alias("draw"), *(c for c in done.columns if c != "_draw"))

@@ -65,16 +65,16 @@ def ranked(df: DataFrame, value: str, ties: str, *keys: str, order: str | None =
     """Rows whose value isn't missing, with their rank (from 1, a double) in their group. ties: average, min, max, dense, or ordinal (by the order column)."""
     rows = df.where(present(value)).withColumn("_g", group_key(keys)).withColumn("_x", clean(value))
     if ties == "ordinal":
-        return _ordinal(rows, order, out).drop("_g", "_x")
+        return _ordinal(rows, (order,), out).drop("_g", "_x")
     table = stored(value_ranks(df, value, *keys))
     r = {"min": F.col("lowest"), "max": F.col("lowest") + F.col("n") - 1, "dense": F.col("dense"), "average": F.col("lowest") + (F.col("n") - 1) / 2}[ties]
     table = table.select("_g", "_x", F.col("n").alias("_n"), r.cast("double").alias("_rank"))
     return dealt_join(rows, table, ["_g", "_x"], "_n").select(*(c for c in df.columns if c != out), F.col("_rank").alias(out))
 
 
-def _ordinal(rows: DataFrame, order: str, out: str) -> DataFrame:
-    """The rows sorted by group, value and order column, numbered from 1 in each group."""
-    dealt = rows.repartitionByRange("_g", "_x", order).sortWithinPartitions("_g", "_x", order)
+def _ordinal(rows: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
+    """The rows sorted by group, value and order columns, numbered from 1 in each group."""
+    dealt = rows.repartitionByRange("_g", "_x", *order).sortWithinPartitions("_g", "_x", *order)
     numbered = stored(dealt.withColumn("_id", F.monotonically_increasing_id()))
     numbered = numbered.withColumn("_part", F.shiftright("_id", _PLACE_BITS)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
     parts = numbered.groupBy("_g", "_part").agg(F.count("*").alias("rows"), F.min("_at").alias("_first"))
@@ -85,6 +85,6 @@ def _ordinal(rows: DataFrame, order: str, out: str) -> DataFrame:
 
 def numbered(df: DataFrame, *by: str, out: str = "row") -> DataFrame:
     """All rows, numbered from 0 in the order of some columns (nulls first), which should tell rows apart: equal ones are numbered in any order, and lie in one range."""
-    rows = df.withColumn("_by", F.struct(*by)).withColumn("_g", F.lit("")).withColumn("_x", F.lit(0.0))
-    done = _ordinal(rows, "_by", "_row").drop("_by", "_g", "_x")
+    rows = df.withColumn("_g", F.lit("")).withColumn("_x", F.lit(0.0))
+    done = _ordinal(rows, by, "_row").drop("_g", "_x")
     return done.select(*(c for c in df.columns if c != out), (F.col("_row") - 1).cast("long").alias(out))

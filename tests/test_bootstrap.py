@@ -87,6 +87,23 @@ def test_no_broadcast_of_the_base(spark):
     assert "BroadcastHashJoin" not in plan and "Window" not in plan  # offsets are stored before
 
 
+def test_drawn_rows_are_not_broadcast(spark):
+    """Spark's estimate of the drawn rows is the size of the table of blocks, far below the default threshold of broadcasts."""
+    df = spark.range(0, 5000).withColumn("x", F.col("id") * 1.0)
+    done = B.bootstrap(df, ["id"], 40, 1, F.count("*").alias("n"), F.countDistinct("id").alias("rows"), block=512)
+    plan = done._jdf.queryExecution().executedPlan()
+    assert {r.n for r in done.collect()} == {5000}
+    for text in (plan.toString(), done._jdf.queryExecution().executedPlan().toString()):
+        assert "Broadcast" not in text and "ShuffledHashJoin" in text
+
+
+def test_distinct_rows_of_equal_columns(spark):
+    """Rows that are equal, or null, are rows of their own."""
+    df = spark.createDataFrame([(1, None), (1, None), (2, 5.0), (2, 5.0), (None, 7.0)], "k long, x double")
+    got = {r.draw: (r.n, r.rows) for r in B.bootstrap(df, ["k", "x"], 6, 8, F.count("*").alias("n"), F.countDistinct("_row").alias("rows")).collect()}
+    assert got == {d: (5, len(set(R.resample_indices(R.Scheme.BOOTSTRAP, 5, d, 8).tolist()))) for d in range(6)}
+
+
 def test_defined_results(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, 5.0, None), (None, 7.0, "c"), (2, 5.0, None)], "k long, x double, draw string")
     rows = B.resampled(df, ["k", "x"], 5, 8)

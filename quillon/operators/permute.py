@@ -132,9 +132,15 @@ class TfceInference:
 
 
 def t_values(w: np.ndarray, residuals: np.ndarray, dof: int) -> np.ndarray:
-    """The t statistic of each node (column of unit-length residuals) under a design [row, column]; sums run over the rows in order."""
-    dots = row_sums(w, residuals)
-    rss = 1.0 - _squares(dots)
+    """The t statistic of each node (column of unit-length residuals) under a design [row, column]; sums run over the rows in order.
+
+    What the design leaves is squared itself: 1 less the squares of the dot products would lose its digits where the fit is close.
+    """
+    dots, rss = row_sums(w, residuals), np.zeros(residuals.shape[1])
+    for a, left in zip(w, residuals, strict=True):
+        for k, d in zip(a, dots, strict=True):
+            left = left - k * d
+        rss += left * left
     with np.errstate(all="ignore"):
         return np.where(rss <= 4 * np.finfo(float).eps * dof, 0.0, dots[0] * np.sqrt(dof / rss))
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from quillon.operators import nulls as N
 from quillon.operators import order as O
 from quillon.operators import permute as P
 from quillon.operators import transform as X
-from quillon.operators.tfce import InvalidParams
+from quillon.operators.tfce import InvalidParams, Tail, resolve_params, tfce_map
 
 
 def ranked_rows(n=3000, seed=1):
@@ -113,6 +114,21 @@ def test_enumerated_flips_and_single_precision(spark):
     np.testing.assert_allclose(single.stat, a.stat, rtol=1e-4, atol=1e-5)
 
 
+def test_statistics_of_a_close_fit():
+    """Values that hardly differ between subjects, against fractions: 1 less the square of the correlation would keep five digits or so."""
+    y = 0.4 + 1e-6 * np.random.default_rng(4).normal(size=(8, 30))
+    params = resolve_params({"weighting": "smith_nichols", "start": 0.5, "step": 0.5})
+    design = P.Design(8, None, None, P.PermOpts(params, Tail.POSITIVE, 1, 256))
+    for draw in (0, 37):
+        got = P.t_values(design.rearranged(draw), design.residuals(y), design.dof)
+        for t, column in zip(got, y.T, strict=True):
+            v = [Fraction(x) * (1 - 2 * (draw >> i & 1)) for i, x in enumerate(column)]
+            want = 7 * sum(v) ** 2 / (8 * sum(x * x for x in v) - sum(v) ** 2)
+            assert abs(Fraction(t) ** 2 / want - 1) < 1e-8 and (t > 0) == (sum(v) > 0)
+    lone = tfce_map(G.Domain.from_volume((1, 1, 1), 6), np.array([1500.25]), params, Tail.POSITIVE)
+    assert math.isclose(lone[0], sum((0.5 + 0.5 * k) ** 2 * 0.5 for k in range(3000)), rel_tol=1e-12)  # every band below the statistic
+
+
 def test_rows_that_no_block_takes(spark):
     d = G.Domain.from_volume((3, 2, 1), 6)
     y = np.arange(30.0).reshape(5, 6) ** 1.5
